@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, quality, sharding, simhash
+from . import chat, decontaminate, packing, quality, sharding, simhash
 from .common import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every region of a document that repeats a passage of a benchmark item."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprint of each document and the group that links of two bits or fewer put it in."""
     found = simhash.groups(table(spark, sf_dir, "documents"), words=3, bits=2)
@@ -76,7 +81,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_shards, op8_quality, op9_chats, op10_packing)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_shards, op8_quality, op9_chats, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
