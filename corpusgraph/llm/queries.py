@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, quality, sharding, simhash
+from . import chat, decontaminate, language, packing, quality, sharding, simhash, toxicity
 from .common import table
 
 
@@ -28,6 +28,19 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of each document, by a model that never saw the labels of held-out rows."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (~toxicity.learns()).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, by a model that never saw those of held-out rows."""
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs)).select("doc_id", (~language.learns()).alias("held_out"), "lang_pred", "score")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, the base rule and the verdict of each document."""
     judged = quality.judge(table(spark, sf_dir, "documents"))
@@ -81,7 +94,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_shards, op8_quality, op9_chats, op10_packing)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_shards, op4_toxicity, op6_language, op8_quality, op9_chats, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
