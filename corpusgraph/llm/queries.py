@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, packing, quality, sharding, simhash, toxicity
+from . import chat, decontaminate, language, packing, quality, secrets, sharding, simhash, toxicity
 from .common import table
 
 
@@ -41,6 +41,16 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs)).select("doc_id", (~language.learns()).alias("held_out"), "lang_pred", "score")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of each document: what the base rules find, and what the network adds."""
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.train(docs))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "network")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, the base rule and the verdict of each document."""
     judged = quality.judge(table(spark, sf_dir, "documents"))
@@ -94,7 +104,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_shards, op4_toxicity, op6_language, op8_quality, op9_chats, op10_packing)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_shards, op4_toxicity, op6_language, op7_secrets, op8_quality, op9_chats, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
