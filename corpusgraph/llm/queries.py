@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, packing, quality, secrets, sharding, simhash, toxicity
+from . import chat, decontaminate, language, packing, quality, repeats, secrets, sharding, simhash, toxicity
 from .common import table
 
 
@@ -35,6 +35,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~toxicity.learns()).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without passages that documents of smaller id have too."""
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of each document, by a model that never saw those of held-out rows."""
     docs = table(spark, sf_dir, "documents")
@@ -104,7 +111,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_shards, op4_toxicity, op6_language, op7_secrets, op8_quality, op9_chats, op10_packing)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_shards, op4_toxicity, op5_repeats, op6_language, op7_secrets, op8_quality, op9_chats, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
