@@ -142,3 +142,19 @@ def diversify(rows: DataFrame, book: str, score: str, key: str, limit: int) -> D
     # at most ``limit`` rows
     place = Window.orderBy(F.desc("_first"), F.desc(score), F.col(key))
     return top.withColumn("place", F.row_number().over(place)).drop("_first")
+
+
+def stated(rows: DataFrame, queries: DataFrame, condition: Column, block: int = 5_000) -> DataFrame:
+    """Rows and queries of a stated set that meet ``condition``, where the rows lie.
+
+    The queries are counted, cut into blocks of about ``block`` by hash, and each
+    block is broadcast; a set of any size works, with one pass over the rows for
+    each block."""
+    n = queries.count()
+    blocks = max(1, -(-n // block))
+    out = None
+    for k in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(*queries.columns), F.lit(blocks)) == k)
+        found = rows.join(F.broadcast(part), condition)
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import reads
+from .plans import reads, textual
 
-FAMILIES = (reads,)
+FAMILIES = (reads, textual)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
