@@ -1,6 +1,8 @@
 """Quality rules as weak supervision, in SQL functions only.
 
-Each rule votes good (1), bad (-1) or abstains (0) on a document.  Expectation
+Each rule votes good (1), bad (-1) or abstains (0) on a document; an abstention
+says nothing.  Rules for kinds of junk vote bad or abstain, for a text without
+one kind of junk may be full of another; one rule votes good on plain prose.  Expectation
 maximisation over the counts of vote patterns (at most 3 to the number of rules,
 whatever the corpus) estimates how often each rule votes which way on good and
 on bad documents, and the posterior probability of good replaces the
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, written
 
+#: What a vote is believed to mean before the corpus is seen: P(vote | good), P(vote | bad); and what that weighs.
+BELIEF = {1: (0.7, 0.05), -1: (0.01, 0.35)}
+ANCHOR = 0.1
 #: Words in a window that counts as repeated when found twice.
 WINDOW = 8
 
@@ -73,54 +78,55 @@ def rules() -> dict[str, Column]:
     c = F.col
     n = F.greatest(c("n_words"), F.lit(1))
 
-    def vote(value: Column, good: Column, bad: Column) -> Column:
-        return F.when(bad, -1).when(good, 1).otherwise(0)
-
-    def share(x: Column, of: Column, good: float, bad: float) -> Column:
-        return F.when(x > of * bad, -1).when(x <= of * good, 1).otherwise(0)
-
+    lines, letters = F.greatest(c("n_lines"), F.lit(1)), F.greatest(c("n_letters"), F.lit(1))
     mean = c("word_chars") / n
+    bad = lambda hit: F.when(hit, -1).otherwise(0)
+    prose = (
+        mean.between(3.0, 9.5) & (c("n_symbols") <= 0.05 * n) & (c("n_dup_lines") <= 0.2 * lines) & (c("n_repeat_words") <= 0.1 * n)
+        & (c("n_upper") <= 0.2 * letters) & (c("n_letters") >= 0.8 * c("word_chars")) & (c("n_bangs") <= 0.1 * n)
+    )
     return {
-        "length": vote(n, c("n_words") >= 40, c("n_words") < 20),
-        "word_length": vote(mean, mean.between(3.0, 9.5), (mean < 2.0) | (mean > 14.0)),
-        "symbols": share(c("n_symbols"), n, 0.05, 0.2),
-        "duplicate_lines": share(c("n_dup_lines"), F.greatest(c("n_lines"), F.lit(1)), 0.1, 0.3),
-        "repeats": share(c("n_repeat_words"), n, 0.1, 0.3),
-        "capitals": share(c("n_upper"), F.greatest(c("n_letters"), F.lit(1)), 0.2, 0.5),
-        "letters": vote(n, c("n_letters") >= 0.8 * c("word_chars"), c("n_letters") < 0.6 * c("word_chars")),
-        "shouting": share(c("n_bangs"), n, 0.1, 0.4),
+        "word_length": bad((c("n_words") > 0) & ((mean < 2.0) | (mean > 14.0))),
+        "symbols": bad(c("n_symbols") > 0.2 * n),
+        "duplicate_lines": bad((c("n_lines") >= 4) & (c("n_dup_lines") > 0.5 * lines)),
+        "repeats": bad(c("n_repeat_words") > 0.3 * n),
+        "capitals": bad(c("n_upper") > 0.5 * letters),
+        "letters": bad(c("n_letters") < 0.5 * c("word_chars")),
+        "shouting": bad(c("n_bangs") > 0.4 * n),
+        "prose": F.when(prose, 1).otherwise(0),
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50, prior: float = 0.85) -> tuple[float, list[dict[int, tuple[float, float]]]]:
+Table = dict[int, tuple[float, float]]
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50, prior: float = 0.9) -> tuple[float, list[Table]]:
     """(share of good documents, for each rule vote -> (P(vote | good), P(vote | bad))).
 
-    Two-class expectation maximisation with one pseudo-count for each vote, started
-    where a rule's vote is right four times in five.  No patterns: the start."""
+    Two-class expectation maximisation.  Bad documents are of many kinds, and each
+    kind trips a few rules, so the largest kind alone must not become the bad
+    class: every vote starts from BELIEF and keeps it as pseudo-counts worth
+    ANCHOR of the documents.  No patterns: the beliefs."""
     k = len(patterns[0][0]) if patterns else 0
-    start = {1: (0.7, 0.2), -1: (0.05, 0.5), 0: (0.25, 0.3)}
-    tables = [dict(start) for _ in range(k)]
+    tables = [dict(BELIEF) for _ in range(k)]
+    weight = max(20.0, ANCHOR * sum(n for _, n in patterns))
     for _ in range(rounds):
         good = bad = 0.0
-        sums = [{v: [1.0, 1.0] for v in (-1, 0, 1)} for _ in range(k)]
+        sums = [{v: [0.0, 0.0] for v in BELIEF} for _ in range(k)]
         for votes, n in patterns:
             p = posterior(votes, prior, tables)
             good, bad = good + n * p, bad + n * (1 - p)
             for s, v in zip(sums, votes, strict=True):
-                s[v][0] += n * p
-                s[v][1] += n * (1 - p)
-        if good + bad:
-            prior = min(0.999, max(0.001, (good + 1) / (good + bad + 2)))
-        tables = [{v: (s[v][0] / sum(x[0] for x in s.values()), s[v][1] / sum(x[1] for x in s.values())) for v in s} for s in sums]
-        for t in tables:  # a vote never speaks for the other side
-            if t[1][0] < t[1][1] or t[-1][0] > t[-1][1]:
-                for v in t:
-                    t[v] = ((t[v][0] + t[v][1]) / 2,) * 2
+                if v:
+                    s[v][0] += n * p
+                    s[v][1] += n * (1 - p)
+        prior = min(0.98, max(0.5, (good + 0.9) / (good + bad + 1)))
+        tables = [{v: tuple((s[v][c] + weight * BELIEF[v][c]) / (total + weight) for c, total in enumerate((good, bad))) for v in BELIEF} for s in sums]
     return prior, tables
 
 
-def posterior(votes: tuple[int, ...], prior: float, tables: list[dict[int, tuple[float, float]]]) -> float:
-    odds = math.log(prior / (1 - prior)) + sum(math.log(t[v][0] / t[v][1]) for v, t in zip(votes, tables, strict=True))
+def posterior(votes: tuple[int, ...], prior: float, tables: list[Table]) -> float:
+    odds = math.log(prior / (1 - prior)) + sum(math.log(t[v][0] / t[v][1]) for v, t in zip(votes, tables, strict=True) if v)
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
 
 
@@ -140,6 +146,6 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     odds = F.lit(math.log(prior / (1 - prior)))
     for name, t in zip(names, tables, strict=False):
         w = {v: math.log(t[v][0] / t[v][1]) for v in t}
-        odds = odds + F.when(F.col(name) == 1, w[1]).when(F.col(name) == -1, w[-1]).otherwise(w[0])
+        odds = odds + F.when(F.col(name) == 1, w[1]).when(F.col(name) == -1, w[-1]).otherwise(0.0)
     voted = voted.withColumn("quality", 1 / (1 + F.exp(-odds)))
     return voted.withColumn("kept", F.col("quality") >= threshold)
