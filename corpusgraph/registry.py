@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import reads, textual
+from .plans import delivery, reads, textual
 
-FAMILIES = (reads, textual)
+FAMILIES = (reads, textual, delivery)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
