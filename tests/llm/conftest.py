@@ -1,28 +1,5 @@
-import sys
-from pathlib import Path
-
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
-
-
-@pytest.fixture(scope="session")
-def spark():
-    import os
-
-    os.environ["PYTHONPATH"] = str(Path(__file__).resolve().parents[2])
-    from pyspark.sql import SparkSession
-
-    s = (
-        SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
-    )
-    s.sparkContext.setLogLevel("ERROR")
-    return s
-
-
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, fp string"
 
 
