@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import delivery, reads, textual
+from .plans import delivery, graphs, reads, textual
 
-FAMILIES = (reads, textual, delivery)
+FAMILIES = (reads, textual, delivery, graphs)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
