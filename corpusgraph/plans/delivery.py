@@ -114,10 +114,10 @@ def book_colors(spark, sf_dir):
     return S.table(spark, sf_dir, "part").select("p_partkey", T.color_index("p_name").alias("color"))
 
 
-@query("""SELECT p_brand, CASE WHEN min(p_size) > 1 THEN 'needs_review' WHEN max(p_retailprice) < 1500 THEN 'pending' WHEN count(*) < 10 THEN 'partial' ELSE 'ready' END AS status FROM part GROUP BY p_brand""")
+@query("""SELECT p_brand, CASE WHEN min(p_size) > 1 THEN 'needs_review' WHEN max(p_retailprice) < 999 THEN 'pending' WHEN count(*) < 10 THEN 'partial' ELSE 'ready' END AS status FROM part GROUP BY p_brand""")
 def workflow_status(spark, sf_dir):
     g = S.table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_size").alias("a"), F.max("p_retailprice").alias("b"), F.count("*").alias("n"))
-    return g.select("p_brand", D.decision([(F.col("a") > 1, "needs_review"), (F.col("b") < 1500, "pending"), (F.col("n") < 10, "partial")], "ready").alias("status"))
+    return g.select("p_brand", D.decision([(F.col("a") > 1, "needs_review"), (F.col("b") < 999, "pending"), (F.col("n") < 10, "partial")], "ready").alias("status"))
 
 
 @query("""SELECT source, doc_id, picked FROM (SELECT source, d.doc_id, coalesce(quality = 1, false) AS picked, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN quality = 1 THEN 0 WHEN quality = 0 THEN 1 ELSE 2 END, d.doc_id) AS k

@@ -56,12 +56,12 @@ def node_context(spark, sf_dir):
     return G.node_context(S.table(spark, sf_dir, "part"), both_ways(spark, sf_dir), "p_partkey", "p_name")
 
 
-@query(f"""WITH {_E}, s AS (SELECT p_partkey AS node FROM part WHERE p_size = 2 AND p_retailprice > 1000), g AS (SELECT p_partkey AS node FROM part WHERE p_name IN (SELECT p_name FROM part WHERE p_partkey IN (FROM s))),
+@query(f"""WITH {_E}, s AS (SELECT p_partkey AS node FROM part WHERE p_size = 2 AND p_partkey % 20 = 0), g AS (SELECT p_partkey AS node FROM part WHERE p_name IN (SELECT p_name FROM part WHERE p_partkey IN (FROM s))),
   b AS (SELECT node, 0 AS d FROM s UNION ALL SELECT node, 1 FROM g), base AS (SELECT node, min(d) AS d FROM b GROUP BY node),
   a AS (FROM base UNION ALL SELECT other, 2 FROM both_ways WHERE node IN (SELECT node FROM base)) SELECT node, ['seed', 'group', 'edge'][min(d) + 1] AS via FROM a GROUP BY node""")
 def graph_expansion(spark, sf_dir):
     p = S.table(spark, sf_dir, "part")
-    return G.expand(p.where("p_size = 2 AND p_retailprice > 1000"), p, links(spark, sf_dir), "p_partkey", "p_name", "source_id", "target_id")
+    return G.expand(p.where("p_size = 2 AND p_partkey % 20 = 0"), p, links(spark, sf_dir), "p_partkey", "p_name", "source_id", "target_id")
 
 
 @query("""SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM conversations) WHERE k <= 4 AND b < 1000""")
@@ -70,11 +70,11 @@ def section_gather(spark, sf_dir):
     return G.gather(c, ["conv_id"], "turn", "n", most_rows=4, most_size=1000).select("conv_id", "turn")
 
 
-@query("""SELECT p_partkey, CASE WHEN count(DISTINCT p_brand) FILTER (k <> '') OVER (PARTITION BY k) > 1 THEN 'merge' WHEN p_retailprice >= 1500 THEN 'keep' ELSE 'drop' END AS decision
+@query("""SELECT p_partkey, CASE WHEN count(DISTINCT p_brand) FILTER (k <> '') OVER (PARTITION BY k) > 1 THEN 'merge' WHEN p_retailprice >= 950 THEN 'keep' ELSE 'drop' END AS decision
   FROM (SELECT *, regexp_replace(lower(p_name || p_type || p_size), '[^a-z0-9]', '', 'g') AS k FROM part)""")
 def merge_decisions(spark, sf_dir):
     p = S.table(spark, sf_dir, "part").withColumn("name", F.concat("p_name", "p_type", F.col("p_size").cast("string")))
-    return G.merge_decisions(p, "p_partkey", "p_brand", "name", "p_retailprice", 1500)
+    return G.merge_decisions(p, "p_partkey", "p_brand", "name", "p_retailprice", 950)
 
 
 @query("""WITH o AS (SELECT p_name, p_type, min(p_partkey) AS f, count(*) AS n, sum(length(p_type)) AS c FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY f) AS k FROM o)

@@ -255,12 +255,12 @@ def book_totals(spark, sf_dir):
     return j.groupBy("r_name").agg(total.alias("n_suppliers"), F.when(total == 0, "empty").when(F.count("n") < F.count("*"), "partial").otherwise("ready").alias("state"))
 
 
-@query("""WITH c AS (SELECT p_brand, count(*) AS n, sum(CASE WHEN p_retailprice > 1500 THEN 1 ELSE 0 END) AS fine FROM part GROUP BY 1)
+@query("""WITH c AS (SELECT p_brand, count(*) AS n, sum(CASE WHEN p_retailprice > 990 THEN 1 ELSE 0 END) AS fine FROM part GROUP BY 1)
   SELECT kind, n FROM (SELECT 'tables' AS kind, (SELECT count(*) FROM part) AS n UNION ALL SELECT 'books', (SELECT count(*) FROM c)
   UNION ALL SELECT 'problems', (SELECT count(*) FROM c WHERE fine = 0) UNION ALL SELECT 'orphans', (SELECT count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)))""")
 def diagnostics(spark, sf_dir):
     part, lines = S.table(spark, sf_dir, "part"), S.table(spark, sf_dir, "lineitem")
-    c = part.groupBy("p_brand").agg(F.count_if(F.col("p_retailprice") > 1500).alias("fine"))
+    c = part.groupBy("p_brand").agg(F.count_if(F.col("p_retailprice") > 990).alias("fine"))
     orphans = lines.join(part, lines["l_partkey"] == part["p_partkey"], "left_anti")
     rows = [part.agg(F.lit("tables").alias("kind"), F.count("*").alias("n")), c.agg(F.lit("books").alias("kind"), F.count("*").alias("n")), c.agg(F.lit("problems").alias("kind"), F.count_if(F.col("fine") == 0).alias("n")), orphans.agg(F.lit("orphans").alias("kind"), F.count("*").alias("n"))]
     out = rows[0]
