@@ -1,8 +1,9 @@
 """Burrows-Wheeler transform and longest common prefixes of a collection, column by column.
 
-One symbol of each string is inserted per round, from the right.  The transform
-is only read and written from front to back; a round costs one pass over what is
-there and touches the new symbols' neighbours.
+One symbol of each string is inserted per round, from the right; shorter strings
+begin later, so that all end in the last round and the early rounds are short.
+The transform is only read and written from front to back; a round costs one pass
+over what is there and touches the new symbols' neighbours.
 """
 
 from __future__ import annotations
@@ -18,24 +19,31 @@ def collection(strings: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np
     Equal suffixes are in the order of their strings' earlier rounds; the empty
     suffixes come first."""
     n_strings, width = strings.shape
-    bwt = strings[:, width - 1].copy()
+    # entry i < n_strings is the empty suffix of string i; a symbol counts once its string has begun
+    bwt = np.zeros(n_strings, np.uint8)
     lcp = np.zeros(n_strings, np.uint8)
-    who = np.arange(n_strings, dtype=np.int32)
-    size = np.zeros(n_strings, np.uint8)
-    fresh = bwt > 0
+    tag = np.arange(n_strings, dtype=np.int64) << 8
+    fresh = np.zeros(n_strings, bool)
+    begins = width - lengths
+    order = np.argsort(begins, kind="stable")
+    starts = np.split(order, np.searchsorted(begins[order], np.arange(1, width)))
     for j in range(1, width + 1):
+        begun = starts[j - 1]
+        bwt[begun] = strings[begun, width - 1]
+        fresh[begun] = True
         n = len(bwt)
         # where each symbol's suffix goes: by symbol, then by place
         order = np.argsort(bwt, kind="stable")
-        ended = n - int(np.count_nonzero(bwt))
-        rank = np.flatnonzero(fresh[order[ended:]]) + ended
+        silent = n - int(np.count_nonzero(bwt))
+        rank = np.flatnonzero(fresh[order[silent:]]) + silent
         if not len(rank):
-            break
+            continue
         at = order[rank]
-        own, to = who[at], rank + (n_strings - ended)
+        own, to = tag[at], rank + (n_strings - silent)
         before, after = order[rank - 1], order[np.minimum(rank + 1, n - 1)]
-        same_before = (bwt[before] == bwt[at]) & (rank > ended)
-        same_after = (bwt[after] == bwt[at]) & (rank + 1 < n)
+        here = bwt[at]
+        same_before = (bwt[before] == here) & (rank > silent)
+        same_after = (bwt[after] == here) & (rank + 1 < n)
         # common prefixes: one more than the least between neighbours of the same symbol
         begin = np.concatenate([np.where(same_before, before + 1, at), np.where(same_after, at + 1, at)])
         end = np.concatenate([at + 1, np.where(same_after, after + 1, at + 1)])
@@ -47,23 +55,26 @@ def collection(strings: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np
         k = len(own)
         up = np.where(same_before, least[:k] + 1, 0)
         down = np.where(same_after, least[k:] + 1, 0)
-        symbol = strings[own, width - 1 - j] if j < width else np.zeros(k, np.uint8)
+        own = own + 1
+        string, size = own >> 8, own & 255
+        symbol = strings[string, np.maximum(width - 1 - size, 0)]
+        symbol[size == lengths[string]] = 0
 
-        total = n_strings + n - ended
+        total = n_strings + n - silent
         fresh = np.zeros(total, bool)
         fresh[to] = True
         old = ~fresh
-        new = [np.empty(total, x.dtype) for x in (bwt, lcp, who, size)]
-        for x, y in zip(new, (bwt, lcp, who, size), strict=True):
+        new = [np.empty(total, x.dtype) for x in (bwt, lcp, tag)]
+        for x, y in zip(new, (bwt, lcp, tag), strict=True):
             x[old] = y
         behind = to + 1
         inside = behind < total
         new[1][behind[inside]] = down[inside]
-        for x, y in zip(new, (symbol, up, own, j), strict=True):
+        for x, y in zip(new, (symbol, up, own), strict=True):
             x[to] = y
-        bwt, lcp, who, size = new
+        bwt, lcp, tag = new
         fresh[to[symbol == 0]] = False
-    return bwt, lcp, who, size
+    return bwt, lcp, (tag >> 8).astype(np.int32), (tag & 255).astype(np.uint8)
 
 
 def least_of_windows(texts: list[bytes], value: np.ndarray, window: int) -> list[np.ndarray]:

@@ -22,6 +22,7 @@ so that no bucket holds all that has it.  No text is shuffled but once.
 from __future__ import annotations
 
 import atexit
+import itertools
 import struct
 import uuid
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ from .common import drop_shuffles, shared_dir, written
 
 WINDOW, GRAM = 50, 16
 #: Bytes of text in a block; blocks to a bucket; windows in a stretch; strings in one transform.
-BLOCK_BYTES, PER_BUCKET, LONGEST, STRINGS = 4_000_000, 4, 64, 4096
+BLOCK_BYTES, PER_BUCKET, LONGEST, STRINGS = 4_000_000, 4, WINDOW - GRAM + 1, 4096
 #: Blocks that share a minimizer from which on its windows are dealt one by one.
 HOT_BLOCKS = 2000
 #: Bytes of a long document whose windows are hashed at a time.
@@ -157,7 +158,7 @@ class Block:
         stop = (self.start + self.n + WINDOW - 1).tolist()
         ids = self.ids[self.doc].tolist()
         raw = self.raw
-        for h, a, z, i, k in zip(home, self.start.tolist(), stop, ids, (self.key & np.uint64(0xFFFF)).tolist(), strict=True):
+        for h, a, z, i, k in zip(home, self.start.tolist(), stop, ids, (self.key & np.uint64(0xFFFFFFFF)).tolist(), strict=True):
             box = out.get(h)
             if box is None:
                 box = out[h] = {}
@@ -248,7 +249,7 @@ def _send_strings(buckets: int):
         for bucket, box in sorted(block.strings(buckets).items()):
             lengths = np.fromiter(map(len, box), np.uint8, len(box))
             ids = np.array([i for i, _ in box.values()], "<i8")
-            keys = np.array([k for _, k in box.values()], "<u2")
+            keys = np.array([k for _, k in box.values()], "<u4")
             rows.append((name, bucket, 2, _pack(struct.pack("<q", len(box)) + lengths.tobytes() + keys.tobytes() + ids.view(np.uint8).reshape(-1, 8).T.tobytes() + b"".join(box))))
         return _message(rows)
 
@@ -264,9 +265,9 @@ def _order_strings(table: pa.Table) -> pa.Table:
         raw = _unpack(payload)
         (n,) = struct.unpack_from("<q", raw)
         lengths = np.frombuffer(raw, np.uint8, n, 8)
-        keys = np.frombuffer(raw, "<u2", n, 8 + n).tolist()
-        ids = np.frombuffer(raw, np.uint8, 8 * n, 8 + 3 * n).reshape(8, n).T.copy().view("<i8").ravel().tolist()
-        at = 8 + 11 * n
+        keys = np.frombuffer(raw, "<u4", n, 8 + n).tolist()
+        ids = np.frombuffer(raw, np.uint8, 8 * n, 8 + 5 * n).reshape(8, n).T.copy().view("<i8").ravel().tolist()
+        at = 8 + 13 * n
         mine = []
         for k, i, z in zip(keys, ids, (np.cumsum(lengths, dtype=np.int64) + at).tolist(), strict=True):
             s = (k, raw[at:z])
@@ -281,9 +282,17 @@ def _order_strings(table: pa.Table) -> pa.Table:
         asked.append(mine)
     names = list(place)
     found: list[np.ndarray | None] = [None] * len(names)
-    # strings with one key stay together
-    order = sorted(range(len(names)), key=lambda p: names[p][0])
     value = np.array(least, np.int64)
+    # strings with one key stay together; one that has its key alone shares no window with another
+    order = sorted(range(len(names)), key=lambda p: names[p][0])
+    sorted_keys = np.array([names[p][0] for p in order], np.int64)
+    alone = np.ones(len(order), bool)
+    same = sorted_keys[1:] == sorted_keys[:-1]
+    alone[1:] &= ~same
+    alone[:-1] &= ~same
+    for p in itertools.compress(order, alone.tolist()):
+        found[p] = np.full(len(names[p][1]) - WINDOW + 1, least[p], np.int64)
+    order = list(itertools.compress(order, (~alone).tolist()))
     at = 0
     while at < len(order):
         z = min(len(order), at + STRINGS)
@@ -363,7 +372,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_blocks:
     flags = written(sent.groupBy("bucket").applyInArrow(_answer_minimizers(hot_blocks), MESSAGE), "repeats-flags")
     drop_shuffles(spark)
     strings = texts.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_send_strings(buckets), MESSAGE)
-    answers = written(strings.groupBy("bucket").applyInArrow(_order_strings, MESSAGE), "repeats-answers")
+    answers = written(strings.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_order_strings, MESSAGE), "repeats-answers")
     drop_shuffles(spark)
     both = flags.unionByName(answers)
     return texts.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_mark(buckets), RESULT)
