@@ -2,7 +2,7 @@
 
 A byte is removed if a string of ``WINDOW`` bytes that covers it also starts in a
 document with a smaller id.  Equal windows have equal minimizers (the least hash
-of their 16-byte grams), so:
+of their 24-byte grams), so:
 
 1. documents are hashed to blocks, written once as a table bucketed by block;
    each block sends its distinct minimizers, packed, to hash buckets;
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .bwt import least_of_windows
 from .common import drop_shuffles, shared_dir, written
 
-WINDOW, GRAM = 50, 16
+WINDOW, GRAM = 50, 24
 #: Bytes of text in a block; blocks to a bucket; windows in a stretch; strings in one transform.
 BLOCK_BYTES, PER_BUCKET, LONGEST, STRINGS = 4_000_000, 4, WINDOW - GRAM + 1, 4096
 #: Blocks that share a minimizer from which on its windows are dealt one by one.
@@ -58,14 +58,15 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _raw_grams(b: np.ndarray) -> tuple[np.ndarray, np.uint64]:
-    c = b.astype(np.uint64) + np.uint64(1)
+def _grams(b: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM (24) bytes from each position on, by doubling to 8 and 16."""
+    c, power = b.astype(np.uint64) + np.uint64(1), _B1
     with np.errstate(over="ignore"):
-        power = _B1
-        for step in (1, 2, 4, 8):
+        for step in (1, 2, 4):
             c = c[:-step] * power + c[step:]
             power = power * power
-    return c, power
+        n = len(b) - GRAM + 1
+        return _mix((c[:n] * power + c[8 : 8 + n]) * power + c[16 : 16 + n])
 
 
 def _slide(h: np.ndarray, w: int) -> np.ndarray:
@@ -102,7 +103,7 @@ class Block:
         b = self.bytes[a:z]
         if len(b) < WINDOW:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        low = _slide(_mix(_raw_grams(b)[0]), WINDOW - GRAM + 1)
+        low = _slide(_grams(b), WINDOW - GRAM + 1)
         # windows that do not run past the end of their document
         place = np.arange(a, a + len(low))
         first, last = np.searchsorted(self.begin, [a, a + len(low)], "right")
@@ -151,20 +152,23 @@ class Block:
         for i in np.flatnonzero(split).tolist():
             self.key[i] = np.frombuffer(_digest(self.raw[self.start[i] : self.start[i] + WINDOW]), np.uint64)[0]
 
-    def strings(self, buckets: int) -> dict[int, dict[bytes, list]]:
-        """By bucket, in order of first sight: each distinct stretch with its smallest id and its key."""
-        out: dict[int, dict[bytes, list]] = {}
-        home = ((self.key >> np.uint64(20)) % np.uint64(buckets)).tolist()
+    def strings(self, buckets: int) -> tuple[dict[int, dict[bytes, tuple[int, int, int]]], np.ndarray, np.ndarray]:
+        """By bucket, in order of first sight: each distinct stretch with its smallest id, its key and its place; then the bucket and place of each stretch."""
+        out: dict[int, dict[bytes, tuple[int, int, int]]] = {}
+        home = ((self.key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
         stop = (self.start + self.n + WINDOW - 1).tolist()
-        ids = self.ids[self.doc].tolist()
-        raw = self.raw
-        for h, a, z, i, k in zip(home, self.start.tolist(), stop, ids, (self.key & np.uint64(0xFFFFFFFF)).tolist(), strict=True):
+        raw, places = self.raw, []
+        for h, a, z, i, k in zip(home.tolist(), self.start.tolist(), stop, self.ids[self.doc].tolist(), (self.key & np.uint64(0xFFFFFFFF)).tolist(), strict=True):
             box = out.get(h)
             if box is None:
                 box = out[h] = {}
-            # documents come by id: the first to have a stretch is the smallest
-            box.setdefault(raw[a:z], (i, k))
-        return out
+            s = raw[a:z]
+            found = box.get(s)
+            if found is None:
+                # documents come by id: the first to have a stretch is the smallest
+                found = box[s] = (i, k, len(box))
+            places.append(found[2])
+        return out, home, np.array(places, np.int64)
 
 
 def _digest(x: bytes) -> bytes:
@@ -246,10 +250,10 @@ def _send_strings(buckets: int):
         _answered(block, messages, buckets)
         name = texts.column("block")[0].as_py()
         rows = []
-        for bucket, box in sorted(block.strings(buckets).items()):
+        for bucket, box in sorted(block.strings(buckets)[0].items()):
             lengths = np.fromiter(map(len, box), np.uint8, len(box))
-            ids = np.array([i for i, _ in box.values()], "<i8")
-            keys = np.array([k for _, k in box.values()], "<u4")
+            ids = np.array([x[0] for x in box.values()], "<i8")
+            keys = np.array([x[1] for x in box.values()], "<u4")
             rows.append((name, bucket, 2, _pack(struct.pack("<q", len(box)) + lengths.tobytes() + keys.tobytes() + ids.view(np.uint8).reshape(-1, 8).T.tobytes() + b"".join(box))))
         return _message(rows)
 
@@ -316,18 +320,18 @@ def _mark(buckets: int):
         block = Block(texts)
         _answered(block, messages, buckets)
         said = {b: p for b, k, p in zip(*(messages.column(c).to_pylist() for c in ("bucket", "kind", "payload")), strict=True) if k == 3}
-        first: dict[int, dict[bytes, int]] = {}
-        answers = {}
-        for bucket, box in block.strings(buckets).items():
-            sizes = np.fromiter(map(len, box), np.int64, len(box)) - WINDOW + 1
-            first[bucket] = dict(zip(box, (np.cumsum(sizes) - sizes).tolist(), strict=True))
-            answers[bucket] = np.frombuffer(_unpack(said[bucket]), "<i8")
+        boxes, home, place = block.strings(buckets)
+        # the windows of all distinct stretches in a row, bucket after bucket
+        answers = np.concatenate([np.frombuffer(_unpack(said[h]), "<i8") for h in boxes]) if boxes else np.zeros(0, np.int64)
+        sizes = np.fromiter((len(x) - WINDOW + 1 for box in boxes.values() for x in box), np.int64)
+        ahead = np.zeros(buckets, np.int64)
+        counts = np.array([len(box) for box in boxes.values()], np.int64)
+        ahead[list(boxes)] = np.cumsum(counts) - counts
         gone = np.zeros(len(block.bytes) + 1, bool)
-        home = ((block.key >> np.uint64(20)) % np.uint64(buckets)).tolist()
-        raw = block.raw
-        for h, a, n, i in zip(home, block.start.tolist(), block.n.tolist(), block.ids[block.doc].tolist(), strict=True):
-            at = first[h][raw[a : a + n + WINDOW - 1]]
-            gone[a : a + n] = answers[h][at : at + n] < i
+        if boxes:
+            at = (np.cumsum(sizes) - sizes)[ahead[home] + place]
+            k = np.arange(block.n.sum()) - np.repeat(np.cumsum(block.n) - block.n, block.n)
+            gone[np.repeat(block.start, block.n) + k] = answers[np.repeat(at, block.n) + k] < np.repeat(block.ids[block.doc], block.n)
         # a byte is covered if any of the WINDOW starts up to it is gone
         sums = np.cumsum(gone[:-1], dtype=np.int64)
         covered = sums > 0
