@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import decontaminate, packing, secrets, simhash, toxicity
+from corpusgraph.llm import decontaminate, nearcopies, packing, secrets, toxicity
 from corpusgraph.llm.common import ship, table, written
 
 
@@ -21,11 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays: the one with the smallest id."""
     ship(spark)
-    groups = simhash.groups(docs, words=3, bits=2)
-    rest = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy"))
-    return docs.join(rest, docs["doc_id"] == rest["_copy"], "left_anti")
+    return nearcopies.drop(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
