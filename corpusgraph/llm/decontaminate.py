@@ -244,6 +244,18 @@ def _found(ids: list, texts: list[str], p: Passages) -> list[tuple]:
     return out
 
 
+def _blocks(benchmark: DataFrame, rate: float) -> Iterator:
+    """The passages of the benchmark in broadcast blocks of bounded size."""
+    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-chars // BLOCK_CHARS)
+    for k in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        block = passages(sorted((r.item_id, r.text) for r in part.collect()), rate)
+        if block is not None:
+            yield benchmark.sparkSession.sparkContext.broadcast(block)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """Regions of ``docs`` (doc_id, text) that repeat a passage of ``benchmark`` (item_id, text) up to ``rate`` edits a character.
 
@@ -253,22 +265,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
     clean.  Items under SHORTEST compared characters, null ones included, are not
     looked for.  Repeated documents each have their rows; repeated items too.
     Either table may be empty.  A document of any length is read whole."""
-    spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-chars // BLOCK_CHARS)
-    found = spark.createDataFrame([], REGIONS)
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        block = passages(sorted((r.item_id, r.text) for r in part.collect()), rate)
-        if block is not None:
-            rows = text.mapInArrow(_search(spark.sparkContext.broadcast(block)), REGIONS)
-            found = rows if k == 0 else found.unionByName(rows)
+    found = docs.sparkSession.createDataFrame([], REGIONS)
+    for k, block in enumerate(_blocks(benchmark, rate)):
+        rows = text.mapInArrow(_search(block), REGIONS)
+        found = rows if k == 0 else found.unionByName(rows)
     return found
 
 
+def _clear(block, at: int):
+    """Rows without those whose text (column ``at``) holds a passage of the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p: Passages = block.value
+        for b in batches:
+            texts = pa.array([x or "" for x in b.column(at).to_pylist()], pa.string())
+            numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), texts], ["row", "text"])
+            clear = np.ones(b.num_rows, bool)
+            for part in _parts(numbered):
+                clear[[x[0] for x in _found(*part, p)]] = False
+            yield b.filter(pa.array(clear))
+
+    return run
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage; columns and repeated rows stay."""
-    dirty = contaminated(docs, benchmark, rate).select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, docs["doc_id"] == dirty["_dirty"], "left_anti")
+    """``docs`` without the rows that hold a benchmark passage; columns and repeated rows stay.
+
+    Each row is judged by its own text where it lies, so null and repeated
+    doc_ids neither save a row nor cost another."""
+    for block in _blocks(benchmark, rate):
+        docs = docs.mapInArrow(_clear(block, docs.columns.index("text")), docs.schema)
+    return docs

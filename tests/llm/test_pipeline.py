@@ -70,3 +70,17 @@ def test_registered_queries_return_their_columns(spark, tmp_path):
         got = queries.queries()[name](spark, str(tmp_path))
         assert columns <= set(got.columns)
         assert sorted(r.doc_id for r in got.collect()) == sorted(docs)
+
+
+def test_stages_with_null_and_repeated_ids(spark, tmp_path):
+    """Rows are dropped for their own text: null and repeated ids neither save nor cost a row."""
+    tables(spark, tmp_path)
+    item = spark.read.parquet(f"{tmp_path}/benchmark.parquet").first().text
+    plain = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(4)]
+    rows = [(None, plain[0]), (None, plain[0]), (5, plain[0]), (6, plain[1]), (6, plain[1]), (7, plain[2]), (7, plain[3]), (None, plain[3] + " end")]
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], COLUMNS)
+    kept = P.drop_near_copies(spark, frame(rows), str(tmp_path)).collect()
+    assert sorted((x.doc_id, x.text) for x in kept) == sorted([(5, plain[0]), (6, plain[1]), (7, plain[2]), (7, plain[3])])
+    rows = [(None, item), (None, plain[0]), (7, plain[1]), (7, "a " + item + " b")]
+    kept = P.drop_contaminated(spark, frame(rows), str(tmp_path)).collect()
+    assert sorted((x.doc_id or 0, x.text) for x in kept) == [(0, plain[0]), (7, plain[1])]
