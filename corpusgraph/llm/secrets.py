@@ -4,8 +4,9 @@ Base rules give spans that always stay.  Every longer token of key characters is
 a candidate; a small network (numpy) reads the candidate and what surrounds it
 and adds those above a threshold.  It is trained on labelled findings: examples
 of public key formats and of look-alikes made from a seed, and what the base
-rules say of a bounded sample of documents.  The threshold is the highest that
-keeps ``RECALL`` of the secrets in a validation part, and at least ``SURE``.
+rules say of a bounded sample of documents.  Scores are calibrated on a
+validation part (Platt), and the threshold is the highest that keeps ``RECALL``
+of its secrets.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 BEFORE, INSIDE, BEHIND = 20, 40, 4
 WIDTH = BEFORE + INSIDE + BEHIND
-RECALL, SURE = 0.98, 0.9
+RECALL = 0.98
 #: Documents whose base findings are learned from, findings of each label taken from them, made examples of each label, seed.
 SAMPLE_DOCS, SAMPLE_FINDINGS, MADE, SEED = 2000, 400, 1200, 5
 
@@ -85,23 +86,53 @@ class Network:
     dense: np.ndarray
     bias: float
     threshold: float = 0.5
+    slope: float = 1.0
+    shift: float = 0.0
+    recall: float = 1.0  # of the validation part's secrets, at the threshold
 
     def hidden(self, codes: np.ndarray):
         x = self.embed[codes]
         win = np.concatenate([x[:, i : WIDTH - 4 + i] for i in range(5)], axis=2)
         return win, np.maximum(0, win @ self.conv + self.conv_bias)
 
-    def scores(self, codes: np.ndarray) -> np.ndarray:
+    def raw(self, codes: np.ndarray) -> np.ndarray:
         out = [np.zeros(0)]
         for k in range(0, len(codes), 1024):
             _, h = self.hidden(codes[k : k + 1024])
-            f = np.concatenate([h.max(axis=1), h.mean(axis=1)], axis=1)
-            out.append(1 / (1 + np.exp(-np.clip(f @ self.dense + self.bias, -30, 30))))
+            out.append(np.concatenate([h.max(axis=1), h.mean(axis=1)], axis=1) @ self.dense + self.bias)
         return np.concatenate(out)
 
 
+    def scores(self, codes: np.ndarray) -> np.ndarray:
+        """Calibrated scores."""
+        return _sigmoid(self.slope * self.raw(codes) + self.shift)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve through ``raw``, with Platt's targets, by damped Newton steps; a falling curve is not taken."""
+    yes, no = int((y == 1).sum()), int((y != 1).sum())
+    if not yes or not no:
+        return 1.0, 0.0
+    want = np.where(y == 1, (yes + 1) / (yes + 2), 1 / (no + 2))
+    x = np.stack([raw, np.ones(len(raw))], axis=1)
+    loss = lambda w: float((np.logaddexp(0, x @ w) - want * (x @ w)).sum())
+    w = np.array([1.0, 0.0])
+    for _ in range(50):
+        q = _sigmoid(x @ w)
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (q - want))
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
+
+
 def fit(codes: np.ndarray, y: np.ndarray, rounds: int = 12, dim: int = 8, filters: int = 24) -> Network:
-    """A network by Adam on batches of 64, and its threshold from every fifth example, which it does not train on."""
+    """A network by Adam on batches of 64, its calibration and threshold from every fifth example, which it does not train on."""
     r = np.random.default_rng(SEED)
     p = [r.normal(0, 0.3, (N_CODES, dim)), r.normal(0, 0.2, (5 * dim, filters)), np.zeros(filters), r.normal(0, 0.2, 2 * filters), np.zeros(1)]
     m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
@@ -136,9 +167,11 @@ def fit(codes: np.ndarray, y: np.ndarray, rounds: int = 12, dim: int = 8, filter
                 b += 0.001 * g * g
                 p[q] = p[q] - 0.01 * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
     net = Network(*p[:4], float(p[4][0]))
+    net.slope, net.shift = platt(net.raw(codes[held]), y[held])
     good = np.sort(net.scores(codes[held & (y == 1)]))
     if len(good):
-        net.threshold = max(SURE, float(good[int((1 - RECALL) * len(good))]))
+        net.threshold = float(good[int((1 - RECALL) * len(good))])
+        net.recall = float((good >= net.threshold).mean())
     return net
 
 
