@@ -6,7 +6,8 @@ and adds those above a threshold.  It is trained on labelled findings: examples
 of public key formats and of look-alikes made from a seed, and what the base
 rules say of a bounded sample of documents.  Scores are calibrated on a
 validation part (Platt), and the threshold is the highest that keeps ``RECALL``
-of its secrets.
+of its secrets.  A long candidate is read in overlapping windows and has the
+highest of their scores.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 BEFORE, INSIDE, BEHIND = 20, 40, 4
 WIDTH = BEFORE + INSIDE + BEHIND
 RECALL = 0.98
+#: Characters from one window of a long candidate to the next.
+STEP = 8
 #: Documents whose base findings are learned from, findings of each label taken from them, made examples of each label, seed.
 SAMPLE_DOCS, SAMPLE_FINDINGS, MADE, SEED = 2000, 400, 1200, 5
 
@@ -55,19 +58,32 @@ def base(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens of key characters with a digit, or with capitals inside, that touch no base finding."""
+def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(start, end, first and last place to read) of tokens of key characters with a digit, or with capitals inside.
+
+    Of a token that base findings touch, each part outside them is a candidate; a
+    part that is too short for a token is read together with the whole token."""
     out = []
     for m in _TOKEN.finditer(text):
         a, z = m.span()
         t = m[0]
         if not (any(c.isdigit() for c in t) or (not t.isupper() and any(c.isupper() for c in t[1:]))):
             continue
-        if not any(s < z and a < e for s, _, e in taken):
-            out.append((a, z))
+        at = a
+        for s, e in sorted((s, e) for s, _, e in taken if s < z and a < e) + [(z, z)]:
+            if s > at:
+                out.append((at, s, *((at, s) if s - at >= 16 else (a, z))))
+            at = max(at, e)
     return out
 
 
+def windows(a: int, z: int) -> list[tuple[int, int]]:
+    """Overlapping stretches of INSIDE characters that cover a candidate, the last one at its end."""
+    if z - a <= INSIDE:
+        return [(a, z)]
+    return [(k, k + INSIDE) for k in [*range(a, z - INSIDE, STEP), z - INSIDE]]
+
+
 def encode(text: str, a: int, z: int) -> list[int]:
     head = text[max(0, a - BEFORE) : a]
     body = text[a : min(z, a + INSIDE)]
@@ -102,7 +118,6 @@ class Network:
             out.append(np.concatenate([h.max(axis=1), h.mean(axis=1)], axis=1) @ self.dense + self.bias)
         return np.concatenate(out)
 
-
     def scores(self, codes: np.ndarray) -> np.ndarray:
         """Calibrated scores."""
         return _sigmoid(self.slope * self.raw(codes) + self.shift)
@@ -226,7 +241,8 @@ def _findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, _, z in spans:
                 value = max(a, z - INSIDE)
                 rows.append((encode(text, value, z), 1))
-            rows += [(encode(text, a, z), 0) for a, z in candidates(text, spans)]
+            # a part beside a base finding is of the same key as often as not: no label
+            rows += [(encode(text, *w), 0) for a, z, lo, hi in candidates(text, spans) if not any(s <= hi and lo <= e for s, _, e in spans) for w in windows(lo, hi)]
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.list_(pa.int32())), pa.array([y for _, y in rows], pa.int32())], ["codes", "label"])
 
 
@@ -249,11 +265,12 @@ def _scan_texts(texts: list[str | None], net: Network) -> list[list[tuple[int, i
         spans = base(t) if t else []
         found.append([(a, k, z, 1.0) for a, k, z in spans])
         if t:
-            for a, z in candidates(t, spans):
-                codes.append(encode(t, a, z))
-                where.append((i, a, z))
+            for a, z, lo, hi in candidates(t, spans):
+                where.append((i, a, z, len(codes)))
+                codes += [encode(t, *w) for w in windows(lo, hi)]
     if codes:
-        for (i, a, z), s in zip(where, net.scores(np.array(codes, np.int32)).tolist(), strict=True):
+        best = np.maximum.reduceat(net.scores(np.array(codes, np.int32)), [k for *_, k in where])
+        for (i, a, z, _), s in zip(where, best.tolist(), strict=True):
             if s >= net.threshold:
                 found[i].append((a, 3, z, s))
     return [sorted(f) for f in found]

@@ -1,8 +1,34 @@
 import numpy as np
+import pytest
 
 from corpusgraph.llm import secrets
 
 
+@pytest.fixture(scope="module")
+def net():
+    rows = secrets.made()
+    return secrets.fit(np.array([secrets.encode(t, a, z) for t, a, z, _ in rows], np.int32), np.array([y for *_, y in rows], float))
+
+
+def covered(net, text, a, z):
+    spans = secrets._scan_texts([text], net)[0]
+    return all(any(s <= i < e for s, _, e, _ in spans) for i in range(a, z))
+
+
+def test_keys_deep_inside_long_candidates(net):
+    key = "Zq8RtY2mKx0VbN4cLw7JhD5s"
+    for head in ("com/services/T00000000/B00000000/", "a" * 30 + "/" + "b" * 30 + "/", "x/" * 200):
+        text = "see " + head + key + " now"
+        assert covered(net, text, 4 + len(head), 4 + len(head) + len(key))
+
+
+def test_rest_of_a_key_beside_a_base_finding(net):
+    head, tail = "QZ7RTY2MKX0VBN4CLW7JHD5S", "0123456789abcdef01234567"
+    assert covered(net, "key: " + head + tail + " end", 5, 5 + len(head) + len(tail))
+    text = "key: " + head[:10] + tail
+    assert secrets.candidates(text, secrets.base(text)) == [(5, 15, 5, len(text))]
+
+
 def test_threshold_keeps_recall_below_any_floor():
     """Overlapping classes: the secrets kept in the validation part are RECALL at least, and scores are frequencies."""
     r = np.random.default_rng(2)
