@@ -1,25 +1,44 @@
 """Sharding by proportional stratified interleaving, in DataFrame operations only.
 
 Rows are shuffled by a seeded hash within each source, and the row of rank ``r``
-of ``n`` gets the fractional rank ``(r - 1/2) / n``.  In the order of fractional
-ranks every stretch has the mixture of the whole table, so equal cuts of that
-order are shards with the same mixture and counts at most one apart.
+of ``n`` gets the fractional rank ``(r - u) / n``, where ``u`` between 0 and 1 is
+the source's own.  In the order of fractional ranks every stretch has the
+mixture of the whole table, so equal cuts of that order are shards with the same
+mixture and counts at most one apart; sources of one row are spread by their ``u``.
 
 No rank is counted in one task: a uniform hash deals the rows of each source
 (and fractional ranks deal all rows) into buckets of bounded size, ranks are
-counted inside a bucket, and prefix sums over the bucket counts are added.  A
-source with a third of all rows just has more buckets.
+counted inside a bucket, and prefix sums over the bucket counts are added, in two
+levels.  A source with a third of all rows just has more buckets.  The hash is of
+id, text and size, so places do not hang on how the input is cut; only where equal
+rows crowd a bucket, its rows are dealt anew by where they were written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
-#: Rows that one bucket holds on average.
-BUCKET_ROWS = 20_000
+#: Rows that one bucket holds on average; how many times as many crowd it; buckets whose counts are summed in one group.
+BUCKET_ROWS, CROWDED, GROUP = 1000, 8, 1024
+
+
+def _part(c: Column) -> Column:
+    """A number from 0 to 1 (not itself) of a hexadecimal hash: its first 13 digits."""
+    return F.conv(F.substring(c, 1, 13), 16, 10).cast("double") / 2.0**52
+
+
+def _before(counts: DataFrame, by: list[str], at: str) -> DataFrame:
+    """``counts`` (by, at: long, n) with ``before``: the sum of ``n`` over smaller ``at``; groups of GROUP neighbours first, then inside them."""
+    group = F.expr(f"{at} div {GROUP}").alias("_group")
+    sums = counts.groupBy(*by, group).agg(F.sum("n").alias("_n"))
+    run = Window.partitionBy(*by).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "_group", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy(*by, "_group").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    within = counts.select("*", group).withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return within.join(sums, [*by, "_group"]).select(*by, at, (F.col("_ahead") + F.col("_inside")).alias("before"))
 
 
 def shard_rows(docs: DataFrame, n_shards: int = 40, seed: int = 42) -> DataFrame:
@@ -27,37 +46,44 @@ def shard_rows(docs: DataFrame, n_shards: int = 40, seed: int = 42) -> DataFrame
 
     ``size`` is the UTF-8 length plus 16.  Shards differ by at most one row, and
     ``slot`` counts from 0 without gaps in each shard.  A null text has no bytes,
-    null sources form one stratum, repeated rows are placed one by one (they are
-    alike, so it does not matter which is which), fewer rows than shards leave
-    the last shards empty, and an empty table gives no rows."""
+    null and empty sources form one stratum, null and repeated ids and repeated
+    rows are placed one by one, fewer rows than shards leave shards empty, and an
+    empty table gives no rows."""
     text = F.coalesce("text", F.lit(""))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text).cast("long") + 16).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.coalesce("source", F.lit("")).alias("source"),
-        key.alias("shuffled"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    rows = written(rows, "shard-rows")
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("text_crc32").cast("string"), F.col("size").cast("string")))
+    # once written, a row keeps its number
+    rows = written(rows.withColumn("shuffled", key), "shard-rows")
     total = rows.count()
     buckets = 1 << max(0, (total // BUCKET_ROWS).bit_length())
-    rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("shuffled", 1, 8), 16, 10).cast("double") / 2.0**32 * buckets).cast("long"))
-
+    dealt = lambda df: df.withColumn("bucket", F.floor(_part(F.col("shuffled")) * buckets).cast("long"))
+    rows = dealt(rows)
     counts = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
-    run = Window.partitionBy("source").orderBy("bucket")
-    whole = Window.partitionBy("source")
-    counts = counts.select("source", "bucket", (F.sum("n").over(run) - F.col("n")).alias("before"), F.sum("n").over(whole).alias("of"))
-    inside = Window.partitionBy("source", "bucket").orderBy("shuffled", "doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("k", F.row_number().over(inside)).join(counts, ["source", "bucket"])
-    ranked = ranked.select("doc_id", "size", "text_crc32", "source", "shuffled", ((F.col("before") + F.col("k") - 0.5) / F.col("of")).alias("fraction"))
-    ranked = ranked.withColumn("cell", F.floor(F.col("fraction") * buckets).cast("long"))
+    crowded = counts.where(F.col("n") > CROWDED * BUCKET_ROWS).select("source", "bucket", F.lit(True).alias("anew"))
+    if not crowded.isEmpty():
+        anew = F.md5(F.concat_ws(":", "shuffled", F.col("row").cast("string")))
+        rows = rows.join(crowded, ["source", "bucket"], "left").withColumn("shuffled", F.when(F.col("anew"), anew).otherwise(F.col("shuffled")))
+        rows = written(dealt(rows.drop("anew", "bucket")), "shard-rows")
+        counts = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
+    whole = counts.groupBy("source").agg(F.sum("n").alias("of"))
+    counts = _before(counts, ["source"], "bucket")
+    inside = Window.partitionBy("source", "bucket").orderBy("shuffled", "row")
+    ranked = rows.withColumn("k", F.row_number().over(inside)).join(counts, ["source", "bucket"]).join(whole, "source")
+    own = _part(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("source"), F.col("source"))))
+    fraction = (F.col("before") + F.col("k") - own) / F.col("of")
+    ranked = ranked.select("doc_id", "size", "text_crc32", "source", "shuffled", "row", fraction.alias("fraction"))
+    ranked = ranked.withColumn("cell", F.least(F.floor(F.col("fraction") * buckets).cast("long"), F.lit(buckets - 1)))
 
     ranked = written(ranked, "shard-ranks")
-    cells = ranked.groupBy("cell").agg(F.count("*").alias("n"))
-    # one row for each bucket, not for each document
-    cells = cells.select("cell", (F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    inside = Window.partitionBy("cell").orderBy("fraction", "source", "shuffled", "doc_id", "text_crc32", "size")
+    cells = ranked.groupBy("cell").agg(F.count("*").alias("n")).withColumn("all", F.lit(0))
+    cells = _before(cells, ["all"], "cell").drop("all")
+    inside = Window.partitionBy("cell").orderBy("fraction", "source", "shuffled", "row")
     placed = ranked.withColumn("k", F.row_number().over(inside)).join(cells, "cell").withColumn("place", F.col("before") + F.col("k") - 1)
     shard = F.expr(f"cast((place * {n_shards}) div {max(total, 1)} as int)")
     # the first place of shard s is ceil(s * total / n)

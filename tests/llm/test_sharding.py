@@ -34,3 +34,44 @@ def test_small_empty_and_repeated(spark, docs):
     assert sharding.shard_rows(docs(["a"]).limit(0)).collect() == []
     twice = docs(["a", "a"]).union(docs(["a", "a"]))
     assert sorted(r.shard for r in sharding.shard_rows(twice, n_shards=4).collect()) == [0, 1, 2, 3]
+
+
+def test_crowds_of_equal_rows_and_null_ids(spark, docs, monkeypatch):
+    """One id, or none, in hundreds of equal rows: their bucket is dealt anew, and shards stay equal."""
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 10)
+    from pyspark.sql import functions as F
+
+    d = docs(["same"] * 900 + [f"t{i}" for i in range(300)]).withColumn("doc_id", F.when(F.col("doc_id") < 900, None).otherwise(F.col("doc_id"))).withColumn("source", F.lit("one"))
+    rows = sharding.shard_rows(d, n_shards=7).collect()
+    sizes = Counter(r.shard for r in rows)
+    assert sum(sizes.values()) == 1200 and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(n)) for s, n in sizes.items())
+    same = Counter(r.shard for r in rows if r.doc_id is None)
+    assert all(abs(same[s] - 900 / 7) < 40 for s in sizes)
+
+
+def test_many_sources_of_one_row(spark, monkeypatch):
+    """They spread over the shards, and no cell holds many."""
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 20)
+    d = spark.createDataFrame([(i, f"t{i}", f"own{i}" if i < 1500 else "big") for i in range(2000)], "doc_id long, text string, source string")
+    rows = sharding.shard_rows(d, n_shards=10).collect()
+    alone = Counter(r.shard for r in rows if r.source != "big")
+    assert all(100 < alone[s] < 200 for s in range(10))
+    cells = Counter(int(r.fraction * 128) for r in rows)
+    assert max(cells.values()) < 60
+
+
+def test_matches_a_plain_ranking(spark, docs):
+    """The same places as ranks counted in memory, source by source and then over all."""
+    import hashlib
+
+    texts = [f"text {i}" for i in range(500)]
+    rows = sharding.shard_rows(docs(texts), n_shards=6, seed=3).collect()
+    part = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:13], 16) / 2.0**52
+    by = {}
+    for r in rows:
+        by.setdefault(r.source, []).append((hashlib.md5(f"3:{r.doc_id}:{r.text_crc32}:{r.size}".encode()).hexdigest(), r.doc_id))
+    order = sorted(((k + 1 - part(f"3:source:{s}")) / len(ids), s, h, i) for s, ids in by.items() for k, (h, i) in enumerate(sorted(ids)))
+    n = len(order)
+    want = {i: (p * 6 // n, p - -(-(p * 6 // n) * n // 6)) for p, (*_, i) in enumerate(order)}
+    assert {r.doc_id: (r.shard, r.slot) for r in rows} == want
