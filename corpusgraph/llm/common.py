@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import re
 import tempfile
 import uuid
+import weakref
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,10 +32,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; one of our own only where none is set."""
+    """The folder that all executors see: that of spark.checkpoint.dir.
+
+    Where none is set, a folder of our own serves a local master; a cluster has
+    no folder that this could be, so that is an error."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="corpusgraph-")
         sc.setCheckpointDir(where)
     return where
@@ -48,7 +55,20 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _paths[back] = path
+    return back
+
+
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the tables behind ``frames`` (as ``written`` returned them), which no later plan reads."""
+    for df in frames:
+        path = _paths.pop(df, None)
+        if path:
+            _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_shuffles, written
+from .common import drop_shuffles, forget, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def components(links: DataFrame) -> DataFrame:
         steps.append(took)
         one, two = took.select(F.col("node").alias("a"), F.col("to").alias("x")), took.select(F.col("node").alias("b"), F.col("to").alias("y"))
         drawn = left.join(one, "a").join(two, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        left = written(drawn, "links")
+        was, left = left, written(drawn, "links")
+        forget(was)
         drop_shuffles(spark)
     if not steps:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -37,5 +38,6 @@ def components(links: DataFrame) -> DataFrame:
     ends = steps[-1]
     for step in reversed(steps[:-1]):
         later = ends.select(F.col("node").alias("to"), F.col("to").alias("end"))
-        ends = step.join(later, "to", "left").select("node", F.coalesce("end", "to").alias("to"))
+        was, ends = ends, written(step.join(later, "to", "left").select("node", F.coalesce("end", "to").alias("to")), "ends")
+        forget(was, step)
     return ends.select("node", F.col("to").alias("root"))
