@@ -1,13 +1,14 @@
 """Secret scans: fixed rules, and a character convolutional network over every candidate in its context.
 
-Base rules give spans that always stay.  Every longer token of key characters is
-a candidate; a small network (numpy) reads the candidate and what surrounds it
+Base rules give spans that always stay.  Every token of 16 key characters or more
+is a candidate; a small network (numpy) reads the candidate and what surrounds it
 and adds those above a threshold.  It is trained on labelled findings: examples
 of public key formats and of look-alikes made from a seed, and what the base
-rules say of a bounded sample of documents.  Scores are calibrated on a
-validation part (Platt), and the threshold is the highest that keeps ``RECALL``
-of its secrets.  A long candidate is read in overlapping windows and has the
-highest of their scores.
+rules say of a bounded sample of documents; what they leave is taken for harmless
+only where a first network, of the made examples, does not call it a secret.
+Scores are calibrated on a validation part (Platt), and the threshold is the
+highest that keeps ``RECALL`` of its secrets.  A long candidate is read in
+overlapping windows and has the highest of their scores.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 # The base rules.
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -59,16 +62,13 @@ def base(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, first and last place to read) of tokens of key characters with a digit, or with capitals inside.
+    """(start, end, first and last place to read) of each token of key characters.
 
     Of a token that base findings touch, each part outside them is a candidate; a
     part that is too short for a token is read together with the whole token."""
     out = []
     for m in _TOKEN.finditer(text):
         a, z = m.span()
-        t = m[0]
-        if not (any(c.isdigit() for c in t) or (not t.isupper() and any(c.isupper() for c in t[1:]))):
-            continue
         at = a
         for s, e in sorted((s, e) for s, _, e in taken if s < z and a < e) + [(z, z)]:
             if s > at:
@@ -190,8 +190,10 @@ def fit(codes: np.ndarray, y: np.ndarray, rounds: int = 12, dim: int = 8, filter
     return net
 
 
-def made(n: int = MADE, seed: int = SEED) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, label): key formats that are public, and look-alikes that are no secrets."""
+def made(n: int = MADE, seed: int = SEED, without: tuple[int, ...] = (), only: tuple[int, ...] = ()) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, label): key formats that are public, and look-alikes that are no secrets.
+
+    ``without`` leaves out key formats by number, ``only`` takes no others."""
     r = random.Random(seed)
     alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
@@ -209,6 +211,8 @@ def made(n: int = MADE, seed: int = SEED) -> list[tuple[str, int, int, int]]:
         lambda: "eyJ" + pick(alnum, r.randrange(20, 60)),
         lambda: pick(alnum + "+/", r.randrange(32, 65)) + r.choice(["", "=", "=="]),
         lambda: "npm_" + pick(alnum, 36),
+        lambda: pick(alnum[26:52], r.randrange(2, 7)) + r.choice("_-") + pick(alnum, r.randrange(16, 50)),
+        lambda: "-".join(pick(r.choice([alnum, alnum, alnum[52:]]), r.randrange(8, 20)) for _ in range(r.randrange(1, 4))) + "-" + pick(alnum, 20),
     ]
     harmless = [
         lambda: pick("0123456789", r.randrange(16, 20)),
@@ -221,7 +225,12 @@ def made(n: int = MADE, seed: int = SEED) -> list[tuple[str, int, int, int]]:
         lambda: "=" * r.randrange(10, 30) + "1" + "-" * 8,
         lambda: "-".join(pick("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)),
         lambda: plain() + "".join(plain() for _ in range(4)) + "Xy" + plain() + "er",
+        lambda: "".join(plain() for _ in range(r.randrange(5, 12))),
+        lambda: "".join(plain() for _ in range(r.randrange(5, 12))).upper(),
+        lambda: "-".join(plain() for _ in range(r.randrange(4, 8))),
+        lambda: r.choice("=-_+/ox") * r.randrange(16, 60),
     ]
+    secret = [f for k, f in enumerate(secret) if k not in without and (not only or k in only)]
     lead = ["key: ", "auth ", "Authorization: Bearer ", 'KEY="', "credential=", "", "", ""]
     out = []
     for k in range(2 * n):
@@ -247,15 +256,24 @@ def _findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame) -> Network:
-    """A network from made examples and from at most SAMPLE_FINDINGS findings of each label in SAMPLE_DOCS documents."""
-    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(SAMPLE_DOCS)
-    drawn = docs.where("text IS NOT NULL").join(F.broadcast(ids), "doc_id").select("text")
-    found = drawn.mapInArrow(_findings, "codes array<int>, label int")
-    rows = [(tuple(e), label) for text, a, z, label in made() for e in [encode(text, a, z)]]
+    """A network from made examples and from at most SAMPLE_FINDINGS findings of each label in SAMPLE_DOCS documents.
+
+    The sample is of distinct ids, one row (the least text) for each; null ids and
+    texts are not in it.  An empty table leaves the made examples."""
+    ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(SAMPLE_DOCS)
+    drawn = docs.where("text IS NOT NULL").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("text")
+    found = written(drawn.mapInArrow(_findings, "codes array<int>, label int"), "secrets-sample")
+    codes = [encode(text, a, z) for text, a, z, _ in made()]
+    labels = [label for *_, label in made()]
+    first = fit(np.array(codes, np.int32), np.array(labels, np.float64))
     for label in (0, 1):
         part = found.where(F.col("label") == label).select("codes").distinct().orderBy(F.xxhash64("codes"), "codes").limit(SAMPLE_FINDINGS)
-        rows += [(tuple(r.codes), label) for r in part.collect()]
-    return fit(np.array([c for c, _ in rows], np.int32), np.array([y for _, y in rows], np.float64))
+        part = [list(r.codes) for r in part.collect()]
+        if part and not label:
+            part = [c for c, s in zip(part, first.scores(np.array(part, np.int32)).tolist(), strict=True) if s < first.threshold]
+        codes += part
+        labels += [label] * len(part)
+    return fit(np.array(codes, np.int32), np.array(labels, np.float64))
 
 
 def _scan_texts(texts: list[str | None], net: Network) -> list[list[tuple[int, int, int, float]]]:
