@@ -3,14 +3,13 @@
 Features are hashed byte pairs and triples of the lower-cased letters of the
 whole text.  Linear support vector machines (numpy) tell each family from the
 rest; within the family that wins, one machine for each pair of its languages
-votes.  Training takes at most ``PER_LANGUAGE`` documents of each language, drawn
-by a hash of the id; every document is predicted.
+votes.  Training takes at most ``PER_LANGUAGE`` documents of each language, and
+``SAMPLE`` of all, drawn by a hash of id and text; every document is predicted.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,8 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most documents learned from for each language; hash cells of the features; seed of the draw.
-PER_LANGUAGE, CELLS, SEED = 700, 4096, 11
+from .common import written
+
+#: Most documents learned from, for each language and in all; most languages (the commonest ones);
+#: hash cells of the features; seed of the draw.
+PER_LANGUAGE, SAMPLE, LANGUAGES, CELLS, SEED = 700, 14_000, 400, 4096, 11
 
 # The family of each language code; any other code is a family of its own.
 FAMILIES = {
@@ -33,10 +35,14 @@ FAMILIES = {
 }
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes}
 
-_LETTER = re.compile(r"[^\W\d_]")
 _SPLIT = bytes(32 if c < 128 and not chr(c).isalpha() else c for c in range(256))
 
 
+def _lettered(text: str | None) -> bool:
+    """Whether a text has a letter."""
+    return any(map(str.isalpha, text or ""))
+
+
 def family(code: str) -> str:
     return _FAMILY.get(code.lower().split("-")[0], code)
 
@@ -54,18 +60,24 @@ def counts(text: str) -> np.ndarray:
 
 
 def svm(x: np.ndarray, y: np.ndarray, c: float = 20.0, rounds: int = 150) -> np.ndarray:
-    """Weights (bias last) of a linear machine with squared hinge, y in -1 and 1, by accelerated descent; classes weigh alike."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w = np.zeros(x.shape[1] + 1, np.float64)
+    """Weights (bias last) of a linear machine with squared hinge, y in -1 and 1, by accelerated descent; classes weigh alike.
+
+    It ends when no weight moves by a thousandth of the largest."""
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    y = y.astype(np.float32)
+    w = np.zeros(x.shape[1] + 1, np.float32)
     ahead, pace = w.copy(), 1.0
-    step = 1 / (1 / c + 2 * 2)
+    step = np.float32(1 / (1 / c + 2 * 2))
     for _ in range(rounds):
         margin = np.maximum(0, 1 - y * (x @ ahead[:-1] + ahead[-1]))
         pull = -2 * weight * y * margin
-        slope = np.append(x.T @ pull + ahead[:-1] / c / 50, pull.sum())
+        slope = np.append(x.T @ pull + ahead[:-1] / np.float32(50 * c), pull.sum())
         after = ahead - step * slope
         faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
-        ahead, w, pace = after + (pace - 1) / faster * (after - w), after, faster
+        moved = np.abs(after - w).max()
+        ahead, w, pace = after + np.float32((pace - 1) / faster) * (after - w), after, faster
+        if moved < 1e-3 * np.abs(w).max():
+            break
     return w
 
 
@@ -85,7 +97,7 @@ class Model:
         names, scores = [], []
         sure = lambda z: 1 / (1 + float(np.exp(-np.clip(self.slope * z, -40, 40))))
         for t in texts:
-            if not self.families or not t or not _LETTER.search(t):
+            if not self.families or not _lettered(t):
                 names.append("und")
                 scores.append(0.0)
                 continue
@@ -107,25 +119,47 @@ class Model:
 
 
 def learns(doc_id="doc_id"):
-    """Rows whose language may be learned from: the others are held out."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 != 2
+    """Rows whose language may be learned from: not those held out, and not those without an id."""
+    return F.col(doc_id).isNotNull() & ~held_out(doc_id)
+
+
+def held_out(doc_id="doc_id"):
+    """The rows whose languages are never seen; a null id is none of them, and is not learned from either."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """lang, text of the rows learned from, each distinct row once: the ``per_language`` least hashes of each language.
+
+    Rows are counted for each language, a bound on the hash leaves about twice as
+    many as wanted wherever they lie, and only these few are ranked."""
+    draw = F.xxhash64("doc_id", "text", F.lit(SEED))
+    named = docs.where(learns() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", draw.alias("draw"))
+    sizes = named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    most = min(per_language, SAMPLE // max(1, sizes.count()))
+    # a hash of 64 bits, as a share of all
+    share = (F.col("draw").cast("double") + 2.0**63) / 2.0**64
+    bounds = sizes.select("lang", ((2.0 * most + 100) / F.col("n")).alias("bound"))
+    some = named.join(F.broadcast(bounds), "lang").where(share < F.col("bound")).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    some = written(some, "language-sample")
+    # of two to three times ``most`` rows for each language
+    best = some.select("lang", "draw", F.row_number().over(Window.partitionBy("lang").orderBy("draw")).alias("k")).where(F.col("k") <= most)
+    return some.join(F.broadcast(best.select("lang", "draw")), ["lang", "draw"]).select("lang", "text")
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """A model of the languages that ``docs`` (doc_id, text, lang) names; without any, one that answers ``und``."""
-    draw = F.xxhash64("doc_id", F.lit(SEED))
-    named = docs.where(learns() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = named.select("doc_id", "lang").distinct()
-    ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id"))).where(F.col("k") <= per_language).select("doc_id", "lang")
+    """A model of the languages that ``docs`` (doc_id, text, lang) names; without any, one that answers ``und``.
+
+    Rows without id, text or lang, and texts without a letter, are not learned
+    from; equal rows count once."""
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [counts(t).astype("<f2").tobytes() if _LETTER.search(t) else None for t in b.column(1).to_pylist()]
+            found = [counts(t).astype("<f2").tobytes() if _lettered(t) else None for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["lang", "x"])
 
-    # per_language rows for each language at most
-    drawn = named.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
-    rows = sorted((r.lang, bytes(r.x)) for r in drawn.mapInArrow(vectors, "lang string, x binary").where("x IS NOT NULL").collect())
+    # SAMPLE rows at most
+    rows = sorted((r.lang, bytes(r.x)) for r in sample(docs, per_language).mapInArrow(vectors, "lang string, x binary").where("x IS NOT NULL").collect())
     langs = sorted({lang for lang, _ in rows})
     members: dict[str, list[str]] = {}
     for lang in langs:

@@ -32,7 +32,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of each document, by a model that never saw the labels of held-out rows."""
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", (~toxicity.learns()).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of each document, by a model that never saw those of held-out rows."""
     docs = table(spark, sf_dir, "documents")
-    return language.identify(docs, language.train(docs)).select("doc_id", (~language.learns()).alias("held_out"), "lang_pred", "score")
+    return language.identify(docs, language.train(docs)).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

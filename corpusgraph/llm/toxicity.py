@@ -8,8 +8,9 @@ positives have in it, and is kept from falling below zero:
     pi * E_pos[l(g)] + max(0, E_unl[l(-g)] - pi * E_pos[l(-g)])
 
 The features are those that stand out in the positives against the unlabelled
-sample.  Both samples are bounded (``POSITIVES``, ``UNLABELLED``) and drawn by a
-hash of the id; the prior comes from all labels; all documents are scored.
+sample.  Both samples are bounded (``POSITIVES``, ``UNLABELLED`` rows, one for an
+id) and drawn by a hash of the id; the prior comes from all labels; all documents
+are scored.
 """
 
 from __future__ import annotations
@@ -82,8 +83,13 @@ class Model:
 
 
 def learns(doc_id="doc_id"):
-    """Rows whose label may be learned from: the others are held out."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1
+    """Rows whose label may be learned from: not those held out, and not those without an id."""
+    return F.col(doc_id).isNotNull() & ~held_out(doc_id)
+
+
+def held_out(doc_id="doc_id"):
+    """The rows whose labels are never seen; a null id is none of them, and is not learned from either."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,15 +103,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
-    """A bounded sample: positive (1: confirmed toxic, 0: unlabelled), text."""
+    """A bounded sample: positive (1: confirmed toxic, 0: unlabelled), text; of the rows of one id, the least text."""
     draw = F.xxhash64("doc_id", F.lit(SEED))
     toxic = labels.where((F.col("toxic") == 1) & learns()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     toxic = toxic.orderBy(draw, "doc_id").limit(positives).select("doc_id", F.lit(1).alias("positive"))
     rest = docs.where(learns()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(draw, "doc_id").limit(unlabelled)
     ids = toxic.unionByName(rest.select("doc_id", F.lit(0).alias("positive")))
     drawn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # positives + unlabelled rows at most
-    return drawn.join(F.broadcast(ids), "doc_id").select("positive", "text")
+    # positives + unlabelled rows at most, however often an id occurs
+    return drawn.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text")).select("positive", "text")
 
 
 def prior_of(labels: DataFrame) -> float:
@@ -135,7 +141,10 @@ def nnpu(x: np.ndarray, y: np.ndarray, prior: float, rounds: int = 400, rate: fl
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model; without positives or without documents, one that scores all alike by the prior."""
+    """A model; without positives or without documents, one that scores all alike by the prior.
+
+    Rows without an id, in either table, are not learned from; a label given twice
+    counts twice in the prior only."""
     prior = prior_of(labels)
     flat = Model({}, math.log(prior / (1 - prior)))
     drawn = written(sample(docs, labels), "toxicity-sample")
@@ -168,7 +177,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (doc_id, text) as doc_id, score: the more, the likelier toxic.  A null or empty text gets the score of no words."""
+    """``docs`` (doc_id, text) as doc_id, score (0 to 1): the more, the likelier toxic.
+
+    A null or empty text gets the score of no words.  Null ids and repeated rows
+    each give a row, equal texts equal scores; other columns are not read.  An
+    empty table gives no rows.  Texts are read whole."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +193,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
-    """``docs`` without those that score ``cut`` or more; all columns and repeated rows stay."""
+    """``docs`` without those that score ``cut`` or more; all columns and repeated rows stay.
+
+    Each row is judged by its own text, so null and repeated ids neither save nor
+    cost a row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

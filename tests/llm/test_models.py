@@ -98,3 +98,37 @@ def test_network_finds_unseen_secrets():
     hit = net.scores(np.array([secrets.encode(t, a, z) for t, a, z, _ in other], np.int32)) >= net.threshold
     y = np.array([y for *_, y in other], bool)
     assert hit[y].mean() > 0.9 and hit[~y].mean() < 0.05
+
+
+def test_null_ids_repeated_rows_and_clashing_columns(spark):
+    """One id in thousands of rows gives one row of a sample; a null id is scored, never learned from, and not held out."""
+    r = random.Random(4)
+    rows = [(i, made(r, lang, 30), lang) for i, lang in enumerate(["en", "de", "fr", "es"] * 40)]
+    rows += [(7, made(r, "en", 30), "en")] * 3000 + [(None, made(r, "de", 30), "de")] * 5
+    d = spark.createDataFrame([(*x, "s", "k", 0.5, True) for x in rows], "doc_id long, text string, lang string, score string, positive string, draw double, held_out boolean")
+    assert language.sample(d).count() <= 161 and language.sample(d, per_language=10).count() <= 40
+    model = language.train(d)
+    assert language.identify(d, model).count() == len(rows)
+    assert d.select(language.held_out().alias("h")).where("h IS NULL").count() == 0 and d.where("doc_id IS NULL").where(language.learns()).count() == 0
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(160)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    assert toxicity.sample(d, labels).where("positive = 0").count() <= 160
+    scored = toxicity.score(d, toxicity.train(d, labels))
+    assert scored.count() == len(rows) and scored.where("score IS NULL").count() == 0
+    assert d.select(toxicity.held_out().alias("h")).where("h IS NULL").count() == 0
+    assert secrets.scan(d, secrets.train(d)).count() == len(rows)
+
+
+def test_letters_are_what_is_alphabetic(spark):
+    """Fractions, raised and ringed digits are no letters."""
+    assert not language._lettered("\u00bd \u00b2 \u2460 12 _") and language._lettered("1\u00aa") and not language._lettered(None)
+
+
+def test_sample_takes_the_least_hashes_of_each_language(spark):
+    """The same rows as sorting all of a language by the hash."""
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(i, f"t{i}", "en" if i % 3 else "de") for i in range(4000)], "doc_id long, text string, lang string")
+    got = {(x.lang, x.text) for x in language.sample(d, per_language=50).collect()}
+    rows = d.where(language.learns()).select("lang", "text", F.xxhash64("doc_id", "text", F.lit(language.SEED)).alias("h")).collect()
+    want = {(x.lang, x.text) for lang in ("en", "de") for x in sorted((x for x in rows if x.lang == lang), key=lambda x: x.h)[:50]}
+    assert got == want
