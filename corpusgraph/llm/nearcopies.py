@@ -1,8 +1,11 @@
-"""Near copies by the similarity of their word shingles, exactly: prefix filtering, then verification.
+"""Near copies by the similarity of their word shingles, exactly: SimHash links and prefix filtering, then verification.
 
-A text is the set of its five-word shingles (64-bit hashes).  In any order that
-all texts share, two sets of similarity ``4 / 5`` or more have one of their first
-``n - ceil(4 n / 5) + 1`` shingles in common.  So:
+A text is the set of its five-word shingles (64-bit hashes).  SimHash fingerprints
+of the sets, linked through deletion-variant signatures (``simhash.links``), give
+the candidates of nearly equal texts.  Two bits of 64 do not reach down to a
+similarity of ``4 / 5``: for the rest, in any order that all texts share, two sets
+of that similarity have one of their first ``n - ceil(4 n / 5) + 1`` shingles in
+common.  So:
 
 1. these first shingles go into an index, shingles that a sample finds common
    last, so that what many texts share is rarely among them; the order only
@@ -13,7 +16,9 @@ all texts share, two sets of similarity ``4 / 5`` or more have one of their firs
    the links so found have been joined, its pairs between texts that are still
    apart are verified too, so that none is missed.
 
-Texts of equal sets are one node.
+Every candidate of either kind is verified.  Texts of equal sets are one node.  A
+row is known by its id and a hash of its text, so no text is copied or moved but
+those of candidates and, where many rows go, once to part them.
 """
 
 from __future__ import annotations
@@ -28,9 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_shuffles, written
+from . import simhash
+from .common import drop_shuffles, forget, written
 from .components import components
-from .simhash import _LOWER
+from .simhash import _LOWER, _bit_counts
 
 #: Words of a shingle; the least similarity, as a fraction.
 WORDS, OVER, UNDER = 5, 4, 5
@@ -40,8 +46,10 @@ SAMPLE_DOCS, COMMON = 4000, 200_000
 LARGE, HUBS = 4, 1
 #: Cells of a sketch.
 CELLS = 512
-#: Index rows handled at a time, words whose hashes are held.
-ROWS, HELD = 1 << 20, 1 << 19
+#: Index rows handled at a time, words whose hashes are held, parts in which the index is dealt, one after another.
+ROWS, HELD, SLICES = 1 << 20, 1 << 19, 4
+#: Rows of two numbers up to which a table is broadcast.
+SMALL = 1_000_000
 
 _TIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -73,6 +81,11 @@ def _node(h: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 3)).astype(np.int64)) if len(h) else 0
 
 
+def _fingerprint(h: np.ndarray) -> int:
+    """The SimHash of a set, as a signed long; the empty set is zero."""
+    return int.from_bytes(np.packbits(2 * _bit_counts(h) > len(h)).tobytes(), "big", signed=True)
+
+
 def _sketch(h: np.ndarray) -> bytes:
     """Parities of the shingles in ``CELLS`` cells: two sketches differ in at most as many cells as their sets in shingles."""
     return np.packbits(np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1).tobytes()
@@ -88,7 +101,7 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(x, known).view(np.int64))], ["h"])
 
     step = max(1, rows.count() // SAMPLE_DOCS)
-    drawn = rows.where(F.pmod(F.xxhash64("_row"), F.lit(step)) == 0).where("text IS NOT NULL").select("text")
+    drawn = rows.where(F.pmod(F.col("h"), F.lit(step)) == 0).select("text")
     many = drawn.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     top = many.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     h, n = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
@@ -103,33 +116,41 @@ def _prefixes(shared):
         common, often = shared.value
         known = _Hashes()
         for b in batches:
-            nodes, sizes, firsts, sketches = [], [], [], []
+            nodes, sizes, firsts, sketches, fps = [], [], [], [], []
             for x in b.column(2).cast(pa.binary()).to_pylist():
                 h = shingles(x, known)
                 n = len(h)
                 nodes.append(_node(h))
                 sizes.append(n)
                 sketches.append(_sketch(h))
+                fps.append(_fingerprint(h))
                 if n and len(common):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     h = h[np.argsort(np.where(common[at] == h, often[at], 0), kind="stable")]
                 firsts.append(h[: n - -(-OVER * n // UNDER) + 1 if n else 0].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary()), pa.array(sketches, pa.binary())], ["_row", "doc_id", "node", "n", "firsts", "sketch"])
+            found = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.array(firsts, pa.binary()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *found], ["doc_id", "h", "node", "n", "fp", "firsts", "sketch"])
 
     return run
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
-    for b in batches:
-        for node, n, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            if node in seen or not raw:
-                continue
-            if len(seen) < HELD:
-                seen.add(node)
-            h = np.frombuffer(raw, np.int64)
-            k = len(h)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(k, node, np.int64)), pa.array(np.full(k, n, np.int32)), pa.array(np.arange(k, dtype=np.int32))], ["key", "node", "n", "place"])
+def _index(k: int):
+    """Part ``k`` of the index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            for node, n, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if node in seen or not raw:
+                    continue
+                if len(seen) < HELD:
+                    seen.add(node)
+                key = np.frombuffer(raw, np.int64)
+                place = np.flatnonzero(key % SLICES == k).astype(np.int32)
+                if len(place):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[place]), pa.array(np.full(len(place), node, np.int64)), pa.array(np.full(len(place), n, np.int32)), pa.array(place)], ["key", "node", "n", "place"])
+
+    return run
 
 
 def _allowed(n: np.ndarray, place: np.ndarray, i, j) -> np.ndarray:
@@ -225,9 +246,17 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Hashes()
+    seen: set[int] = set()
     for b in batches:
-        sets = [shingles(x, known).tobytes() for x in b.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "all"])
+        nodes = b.column(0).to_pylist()
+        new = []
+        for i, node in enumerate(nodes):
+            if node not in seen:
+                new.append(i)
+                if len(seen) < HELD:
+                    seen.add(node)
+        texts = b.column(1).cast(pa.binary()).take(pa.array(new, pa.int64())).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in new], pa.int64()), pa.array([shingles(x, known).tobytes() for x in texts], pa.binary())], ["node", "all"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,14 +269,25 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pc.filter(b.column(i), pa.array(good, pa.bool_())) for i in range(2)], ["a", "b"])
 
 
+def _beside(rows: DataFrame, few: DataFrame, on, how: str) -> DataFrame:
+    """A join that leaves ``rows`` where they lie if the written table ``few`` has at most SMALL rows."""
+    return rows.join(F.broadcast(few) if few.limit(SMALL + 1).count() <= SMALL else few, on, how)
+
+
 def _verified(pairs: DataFrame, firsts: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b: nodes) whose whole sets are similar enough."""
+    spark = pairs.sparkSession
     side = lambda end: firsts.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}"))
     both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("n_a") + F.col("n_b")).cast("long"), "s_a", "s_b")
     pairs = written(both.mapInArrow(_close, "a long, b long"), "near-pairs")
-    drop_shuffles(pairs.sparkSession)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(firsts.select("node", "_row"), "node")
-    sets = written(texts.join(wanted, "_row").select("node", "text").mapInArrow(_sets, "node long, all binary"), "near-sets")
+    drop_shuffles(spark)
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(firsts.select("node", "doc_id", "h"), "node")
+    wanted = written(wanted.select("node", F.col("doc_id").alias("_id"), F.col("h").alias("_h")), "near-wanted")
+    drawn = _beside(texts, wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "inner")
+    # one row for a node, however often its row is repeated
+    sets = drawn.select("node", "text").mapInArrow(_sets, "node long, all binary").groupBy("node").agg(F.first("all").alias("all"))
+    sets = written(sets, "near-sets")
+    drop_shuffles(spark)
     one, two = sets.toDF("a", "_one"), sets.toDF("b", "_two")
     # a pair takes its sets along: at a time, pairs of a quarter of what all sets hold
     moved = pairs.join(firsts.select(F.col("node").alias("a"), "n"), "a").agg(F.sum("n")).first()[0] or 0
@@ -257,27 +297,45 @@ def _verified(pairs: DataFrame, firsts: DataFrame, texts: DataFrame) -> DataFram
     for k in range(slices):
         part = pairs if slices == 1 else pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == k)
         links.append(written(part.join(one, "a").join(two, "b").select("a", "b", "_one", "_two").mapInArrow(_similar, "a long, b long"), "near-links"))
-        drop_shuffles(pairs.sparkSession)
+        drop_shuffles(spark)
+    forget(pairs, wanted, sets)
     return reduce(DataFrame.unionByName, links)
 
 
-def groups(rows: DataFrame, large: int = LARGE, hubs: int = HUBS) -> DataFrame:
-    """_row, doc_id, node, root for each row of ``rows`` (_row: a unique long, doc_id, text): rows of one root are near copies.
+def _fingerprinted(marked: DataFrame) -> DataFrame:
+    """Candidates (a, b: nodes) whose fingerprints are equal or linked: one node of each fingerprint with its others, and with those of its links."""
+    nodes = written(marked.select("fp", "node").distinct(), "near-fingerprints")
+    one = nodes.groupBy("fp").agg(F.min("node").alias("low"), F.count("*").alias("n"))
+    equal = nodes.join(one.where("n > 1"), "fp").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    linked = simhash.links(one.select("fp"), bits=2)
+    ends = lambda c, to: one.select(F.col("fp").alias(c), F.col("low").alias(to))
+    return equal.unionByName(linked.toDF("_a", "_b").join(ends("_a", "a"), "_a").join(ends("_b", "b"), "_b").select("a", "b"))
+
+
+def groups(docs: DataFrame, large: int = LARGE, hubs: int = HUBS) -> DataFrame:
+    """doc_id, h (a hash of the text), node, root for each row of ``docs`` (doc_id, text): rows of one root are near copies.
 
     Null, empty and blank texts are copies of one another; a text of fewer words
-    than a shingle is one shingle.  ``rows`` is read several times, so it must be
+    than a shingle is one shingle.  ``docs`` is read several times, so it must be
     a written table.  An empty table gives no rows."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(_common(rows))
-    texts = rows.select("_row", F.coalesce("text", F.lit("")).alias("text"))
-    plain = rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    marked = written(plain.mapInArrow(_prefixes(shared), "_row long, doc_id long, node long, n int, firsts binary, sketch binary"), "near-firsts")
-    index = marked.select("node", "n", "firsts").mapInArrow(_index, "key long, node long, n int, place int")
-    found = written(index.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_pairs(large, hubs), FOUND), "near-found")
-    drop_shuffles(spark)
-    alike = marked.groupBy("node").agg(F.min("_row").alias("_row"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
-    firsts = written(alike, "near-nodes")
-    links = _verified(found.where("b IS NOT NULL").select("a", "b"), firsts, texts)
+    spark = docs.sparkSession
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    shared = spark.sparkContext.broadcast(_common(texts))
+    marked = written(texts.mapInArrow(_prefixes(shared), "doc_id long, h long, node long, n int, fp long, firsts binary, sketch binary"), "near-firsts")
+    parts = []
+    for k in range(SLICES):
+        index = marked.select("node", "n", "firsts").mapInArrow(_index(k), "key long, node long, n int, place int")
+        parts.append(written(index.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_pairs(large, hubs), FOUND), "near-found"))
+        drop_shuffles(spark)
+    found = reduce(DataFrame.unionByName, parts)
+    lone = F.min(F.struct("doc_id", "h"))
+    alike = marked.groupBy("node").agg(lone.alias("row"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    firsts = written(alike.select("node", "row.doc_id", "row.h", "n", "sketch"), "near-nodes")
+    near = written(_fingerprinted(marked), "near-simhash")
+    rows = written(marked.select("doc_id", "h", "node"), "near-rows")
+    forget(marked)
+    links = _verified(near.unionByName(found.where("b IS NOT NULL").select("a", "b")), firsts, texts)
     joined = components(links)
     crowded = found.where("b IS NULL").select("key", F.col("a").alias("node"), "n", "place")
     if not crowded.isEmpty():
@@ -286,18 +344,24 @@ def groups(rows: DataFrame, large: int = LARGE, hubs: int = HUBS) -> DataFrame:
         more = _verified(apart, firsts, texts)
         if not more.isEmpty():
             joined = components(links.unionByName(more))
-    named = marked.select("_row", "doc_id", "node").join(joined, "node", "left")
-    return named.select("_row", "doc_id", "node", F.coalesce("root", "node").alias("root"))
+    forget(near, firsts, *parts)
+    return rows.join(joined, "node", "left").select("doc_id", "h", "node", F.coalesce("root", "node").alias("root"))
 
 
 def drop(docs: DataFrame, large: int = LARGE, hubs: int = HUBS) -> DataFrame:
     """``docs`` (doc_id, text, any others) with one row of each group: that of the smallest doc_id, a null one last.
 
-    Rows are told apart by a key of their own, so null and repeated ids lose or
-    keep no other row."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    found = written(groups(rows, large, hubs), "near-groups")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_row"))["_row"]
-    kept = found.groupBy("root").agg(best.alias("_row"), F.count("*").alias("_n"))
-    rest = found.join(kept.where("_n > 1").select("root", F.col("_row").alias("_kept")), "root").where("_row <> _kept").select("_row")
-    return rows.join(rest, "_row", "left_anti").drop("_row").select(docs.columns)
+    Rows are told apart by id and text, so null and repeated ids lose or keep no
+    other row; of equal rows one stays.  An empty table stays empty."""
+    found = written(groups(docs, large, hubs).groupBy("root", "doc_id", "h").agg(F.count("*").alias("n")), "near-groups")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h"))
+    kept = found.groupBy("root").agg(best.alias("best"), F.sum("n").alias("all")).where("all > 1")
+    stays = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.h") == F.col("h"))
+    # goes: true; one of several equal rows stays: false
+    fate = found.join(kept, "root").where(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), (~stays).alias("_goes"))
+    fate = written(fate, "near-fate")
+    told = _beside(docs, fate, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_h")), "left")
+    out = told.where("_goes IS NULL").select(docs.columns)
+    if not fate.where("NOT _goes").isEmpty():
+        out = out.unionByName(told.where("NOT _goes").dropDuplicates(["_id", "_h"]).select(docs.columns))
+    return out
