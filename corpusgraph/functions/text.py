@@ -65,7 +65,7 @@ def slices(x: Column, size: int) -> Column:
 
 def tokenize(x: Column | str) -> Column:
     """Word tokens, then pairs, triples and fours over all CJK characters of the text, gaps closed."""
-    joined = F.regexp_replace(text(x), rf"[^{CJK}]", "")
+    joined = F.regexp_replace(text(x), rf"[^{CJK}]+", "")
     return F.concat(word_tokens(x), *(slices(joined, k) for k in (2, 3, 4)))
 
 
@@ -80,7 +80,7 @@ def has_broken_text(x: Column | str) -> Column:
 def normalize_name(x: Column | str) -> Column:
     """Lower case, without what stands in brackets, CJK and ASCII letters and digits only."""
     c = F.regexp_replace(F.lower(F.trim(text(x))), r"[（(][^)）]*[)）]", "")
-    return F.regexp_replace(c, rf"[^{CJK}a-z0-9]", "")
+    return F.regexp_replace(c, rf"[^{CJK}a-z0-9]+", "")
 
 
 def clean_concept_name(x: Column | str) -> Column:
@@ -141,11 +141,12 @@ def excerpt(x: Column | str, size: int = 320) -> Column:
     return F.substring(F.trim(F.when(first != "", first).otherwise(c)), 1, size)
 
 
-def title_aliases(x: Column | str, prefixes: tuple[str, ...] = ("医学", "临床")) -> Column:
-    """A title, the title without known prefixes, and its parts at 与; each once, none empty."""
-    c = F.trim(text(x))
-    bare = [F.regexp_replace(c, f"^{p}", "") for p in prefixes]
-    return F.filter(F.array_distinct(F.concat(F.array(c, *bare), F.split(c, "与"))), lambda a: a != "")
+def title_aliases(x: Column | str, prefixes: tuple[str, ...] = ("医学", "局部")) -> Column:
+    """A title in lower case without white space; without a known prefix; and its parts of three characters and more at 与."""
+    c = F.lower(F.regexp_replace(text(x), r"[\s\x{A0}\x{3000}]+", ""))
+    bare = [F.when(c.startswith(p) & (F.length(c) > len(p)), F.substring(c, len(p) + 1, 1 << 20)) for p in prefixes]
+    parts = F.when(c.contains("与"), F.filter(F.split(c, "与"), lambda a: F.length(a) >= 3)).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.array_distinct(F.array_compact(F.concat(F.array(c, *bare), parts))), lambda a: a != "")
 
 
 def escape_markdown(x: Column | str) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +13,46 @@ from pyspark.sql import types as t
 
 from ..functions import text as T
 
-#: Pairs of least name score and least definition score, any of which qualifies.
+# Pairs of least name score and least definition score, any of which qualifies; titles that name no concept.
 QUALIFY = ((0.98, 0.06), (0.78, 0.04), (0.65, 0.08), (0.55, 0.15), (0.40, 0.28))
+GENERIC_TITLES = (
+    "概述", "绪论", "分类", "分型", "病因", "发病机制", "病因和发病机制", "病理变化", "临床表现", "诊断", "鉴别诊断", "治疗", "预防", "预后",
+    "流行病学", "实验室检查", "辅助检查", "基本概念", "一般原则", "研究进展", "疾病",
+)
+STRUCTURAL_TITLE = "^.+(?:概述|分类|分型|病因|发病机制|病因和发病机制|临床表现|诊断|鉴别诊断|治疗|预防|预后|实验室检查|辅助检查)$"
+ALIGNED = ("core_concept", "section_topic")
+
+
+class Grams(NamedTuple):
+    """How a field is blocked by: characters of a gram, what a shared one weighs, most nodes that may share it, characters of the field that are read."""
+
+    size: int
+    weight: int
+    most: int
+    read: int | None = None
+
+
+#: Names by pairs, definitions by triples of their beginning.
+FIELDS = {"name": Grams(2, 3, 200), "definition": Grams(3, 1, 120, 260)}
+
+
+def eligible(nodes: DataFrame, book: str, key: str) -> DataFrame:
+    """Nodes that are aligned: verified, with a source, of a concrete kind, named like a concept; of one name in a book the best.
+
+    ``nodes`` has name, definition, source_paragraph, chapter, granularity,
+    evidence_status, importance and quality_score."""
+    name, bare = T.clean_concept_name("name"), lambda c: F.regexp_replace(T.text(c), r"\s+", "")
+    generic = F.array(*map(F.lit, GENERIC_TITLES))
+    broken = T.has_broken_text("name") | T.has_broken_text("definition") | T.has_broken_text("source_paragraph")
+    good = (
+        F.col("granularity").isin(*ALIGNED) & (F.col("evidence_status") == "verified") & (T.text("source_paragraph") != "")
+        & ~T.is_front_matter("name") & ~T.is_front_matter("chapter") & ~broken & ~T.text("name").rlike(r"\.{4,}|…{2,}|·{4,}")
+        & ~F.array_contains(generic, T.normalize_name(name)) & ~name.rlike(STRUCTURAL_TITLE) & F.length(name).between(2, 30)
+        & ~name.rlike("[。！？；]") & (F.regexp_count(name, F.lit("，")) < 2)
+        & (F.length(bare("definition")) >= 8) & (bare("definition") != bare("name")) & (F.length(bare("source_paragraph")) >= 12)
+    )
+    own = Window.partitionBy(book, T.normalize_name(name)).orderBy(F.desc("importance"), F.desc("quality_score"), key)
+    return nodes.where(good).withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
 
 
 @F.pandas_udf(t.DoubleType())
@@ -21,16 +61,17 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([round(SequenceMatcher(None, x or "", y or "").ratio(), 4) for x, y in zip(a, b, strict=True)])
 
 
-def blocks(nodes: DataFrame, key: str, book: str, fields: dict[str, tuple[int, int]], bucket: int, top: int) -> DataFrame:
+def blocks(nodes: DataFrame, key: str, book: str, fields: dict[str, Grams] = FIELDS, top: int = 10) -> DataFrame:
     """a, b, weight: for each node the ``top`` nodes of other books with most shared grams.
 
-    ``fields``: column -> (gram size, weight).  A gram that more than ``bucket``
-    nodes have says nothing and is not used, which also bounds the pairs of a gram."""
-    grams = None
-    for name, (size, weight) in fields.items():
-        part = nodes.select(F.col(key).alias("id"), F.col(book).alias("book"), F.lit(name).alias("field"), F.lit(weight).alias("w"), F.explode(T.ngrams(F.substring(name, 1, 260), size)).alias("gram"))
-        grams = part if grams is None else grams.unionByName(part)
-    useful = grams.groupBy("field", "gram").agg(F.count("*").alias("n")).where(F.col("n") <= bucket).select("field", "gram")
+    A gram that more nodes have than its field allows says nothing and is not
+    used, by rule, which also bounds the pairs of a gram."""
+    parts = []
+    for name, f in fields.items():
+        read = F.substring(name, 1, f.read) if f.read else F.col(name)
+        parts.append(nodes.select(F.col(key).alias("id"), F.col(book).alias("book"), F.lit(name).alias("field"), F.lit(f.weight).alias("w"), F.lit(f.most).alias("most"), F.explode(T.ngrams(read, f.size)).alias("gram")))
+    grams = reduce(DataFrame.unionByName, parts)
+    useful = grams.groupBy("field", "gram", "most").agg(F.count("*").alias("n")).where(F.col("n") <= F.col("most")).select("field", "gram")
     kept = grams.join(useful, ["field", "gram"])
     other = kept.select("field", "gram", F.col("id").alias("b"), F.col("book").alias("book_b"))
     pairs = kept.join(other, ["field", "gram"]).where((F.col("book") != F.col("book_b")) & (F.col("id") != F.col("b")))
@@ -80,7 +121,8 @@ def reviewed(candidates: DataFrame, action: str = "action") -> DataFrame:
 def greedy_budget(rows: DataFrame, group: str, key: str, score: str, size: str, locked: str, share: float) -> DataFrame:
     """group, key, kept: locked rows, then by score each row that still fits the budget (``share`` of all sizes), skipping those that do not.
 
-    Skipping makes the choice sequential; a group is one task, its rows are three numbers each."""
+    Skipping makes the choice sequential, so a group is one task: three numbers a
+    row, about a hundred bytes of memory each (ten million rows in a gigabyte)."""
     kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
@@ -94,3 +136,22 @@ def greedy_budget(rows: DataFrame, group: str, key: str, score: str, size: str,
         return f[[group, key]].assign(kept=kept)
 
     return rows.groupBy(group).applyInPandas(run, f"{group} {kind[group]}, {key} {kind[key]}, kept boolean")
+
+
+def compressed(rows: DataFrame, prerequisites: DataFrame, group: str, key: str, chapter: str, score: str, size: str, locked: str, merged: str, share: float) -> DataFrame:
+    """group, key, why: the nodes that stay, and for which reason (the first that holds).
+
+    ``locked`` and ``merged`` nodes always; by score those that fit the budget; what
+    kept nodes have as prerequisite (``source``, ``target``), one step back; and of
+    a chapter that has nothing left the best node."""
+    always = rows.withColumn("_always", F.col(locked) | F.col(merged))
+    fitted = greedy_budget(always, group, key, score, size, "_always", share).where("kept").select(group, key)
+    first = always.join(fitted, [group, key]).select(group, key, chapter, F.when(F.col(locked), "locked").when(F.col(merged), "merged").otherwise("budget").alias("why"))
+    needed = prerequisites.join(first.select(F.col(key).alias("target")), "target", "left_semi").select(F.col("source").alias(key)).distinct()
+    left = always.join(first.select(group, key), [group, key], "left_anti")
+    back = left.join(needed, key, "left_semi").select(group, key, chapter, F.lit("prerequisite").alias("why"))
+    kept = first.unionByName(back)
+    best = Window.partitionBy(group, chapter).orderBy(F.desc(score), key)
+    bare = left.join(kept.select(group, chapter), [group, chapter], "left_anti")
+    last = bare.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(group, key, chapter, F.lit("chapter").alias("why"))
+    return kept.unionByName(last).select(group, key, "why")

@@ -1,22 +1,18 @@
-"""Pages to headings, chapters and chunks, and the quality gates of what is extracted."""
+"""Pages to headings and chapters, and the quality gates of what is extracted."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# Heading forms, limits of chunks, weights of the gates.
-HEADING = rf"^(?:第[ \t]*[{T.NUMERALS}0-9０-９]+[ \t]*章[ \t]*.*|[cC][hH][aA][pP][tT][eE][rR][ \t]+[0-9]+[ \t]*.*|#{{1,2}}[ \t]+.+)$"
-CHUNK_SIZE, OVERLAP = 600, 80
-CONCEPT_TYPES = ("concept", "definition", "process", "structure", "principle", "method", "phenomenon", "mechanism", "classification", "example")
-STRUCTURAL = ("contains", "part_of", "precedes")
-SEMANTIC = ("prerequisite", "causes", "extends", "contrasts_with", "related_to", "equivalent_to", "applies_to")
+# Heading forms, kinds of nodes and edges, the title and length of an introduction.
+HEADING = rf"^(?:第[ \t]*[{T.NUMERALS}0-9０-９]+[ \t]*章[ \t]*.*|(?i:chapter)[ \t]+[0-9]+[ \t]*.*|#{{1,2}}[ \t]+.+)$"
+CONCEPT_TYPES = ("concept", "definition", "principle", "process", "formula", "method", "example", "condition", "exception")
+STRUCTURAL = ("contains", "part_of", "example_of")
+SEMANTIC = ("prerequisite", "causes", "contrasts_with", "equivalent_to", "applies_to", "supports", "conflicts_with", "related_to")
+INTRODUCTION, LEAST_INTRODUCTION = "绪论/前言", 200
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -67,7 +63,6 @@ def without_contents(marks: DataFrame, key: str) -> DataFrame:
     number = chapter_number(F.col("identity"))
     m = marks.withColumn("_no", number).withColumn("_ones", F.sum((F.col("_no") == 1).cast("int")).over(w))
     later = F.max(F.when(F.col("_no") == 2, F.col("line_no"))).over(Window.partitionBy(key))
-    restart = F.min(F.when((F.col("_no") == 1) & (F.col("_ones") > 1) & (later > F.col("line_no")), F.col("line_no")))
     m = m.withColumn("_later", later)
     starts = m.groupBy(key).agg(F.min(F.when((F.col("_no") == 1) & (F.col("_ones") > 1) & (F.col("_later") > F.col("line_no")), F.col("line_no"))).alias("_from"))
     m = m.join(starts, key).where(F.col("_from").isNull() | (F.col("line_no") >= F.col("_from")))
@@ -76,13 +71,23 @@ def without_contents(marks: DataFrame, key: str) -> DataFrame:
     return m.where("_n = 1").drop("_n", "_no", "_ones", "_later", "_from")
 
 
-def chapters(marks: DataFrame, texts: DataFrame, key: str, text: str, least: int = 50) -> DataFrame:
-    """key, order_index, title, start, stop, content: what stands between a mark and the next; bodies under ``least`` characters go."""
+def chapters(marks: DataFrame, texts: DataFrame, key: str, text: str, least: int = 50, every_mark: DataFrame | None = None) -> DataFrame:
+    """key, order_index, title, start, stop, content: what stands between a mark and the next; bodies under ``least`` characters go.
+
+    With ``every_mark`` (the marks before a table of contents was taken out), a text
+    of over LEAST_INTRODUCTION characters ahead of the first mark is a chapter of
+    its own, unless a table of contents stood there."""
     w = Window.partitionBy(key).orderBy("line_no")
-    spans = marks.withColumn("_next", F.lead("start").over(w)).join(texts.select(key, F.col(text).alias("_text")), key)
-    stop = F.coalesce("_next", F.length("_text"))
-    spans = spans.select(key, "line_no", "title", "start", stop.alias("stop"), T.clean_text(F.substring(F.col("_text"), (F.col("start") + 1).cast("int"), (stop - F.col("start")).cast("int"))).alias("content"))
-    return spans.where(F.length("content") >= least).withColumn("order_index", F.row_number().over(w) - 1).drop("line_no")
+    own = texts.select(key, F.col(text).alias("_text"))
+    spans = marks.withColumn("_next", F.lead("start").over(w)).join(own, key)
+    spans = spans.select(key, "line_no", "title", "start", F.coalesce("_next", F.length("_text")).alias("stop"), "_text", F.lit(least).alias("_least"))
+    if every_mark is not None:
+        first = marks.groupBy(key).agg(F.min_by("start", "line_no").alias("stop"), F.min("line_no").alias("_kept"))
+        opened = first.join(every_mark.groupBy(key).agg(F.min("line_no").alias("_first")), key).where("_kept = _first").join(own, key)
+        spans = spans.unionByName(opened.select(key, F.lit(0).cast(marks.schema["line_no"].dataType).alias("line_no"), F.lit(INTRODUCTION).alias("title"), F.lit(0).cast(marks.schema["start"].dataType).alias("start"), "stop", "_text", F.lit(LEAST_INTRODUCTION + 1).alias("_least")))
+    content = T.clean_text(F.substring(F.col("_text"), (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")))
+    cut = spans.select(key, "line_no", "title", "start", "stop", content.alias("content"), "_least")
+    return cut.where(F.length("content") >= F.col("_least")).withColumn("order_index", F.row_number().over(w) - 1).drop("line_no", "_least")
 
 
 def page_groups(pages: DataFrame, book: str, page: str, text: str, least: int = 50) -> DataFrame:
@@ -103,102 +108,6 @@ def page_spans(pages: DataFrame, chapter: str, page: str, text: str) -> DataFram
     return pages.select(chapter, page, start.alias("start"), (start + F.length(text)).alias("stop"))
 
 
-_SENTENCE = re.compile(r"[^。！？；;!?.\n]*[。！？；;!?.\n]+|[^。！？；;!?.\n]+$")
-_SECTION = re.compile(r"^(?:(#{2,6})\s+(.+)|(第[一二三四五六七八九十\d]+节)\s*(.*)|([一二三四五六七八九十]+[、．.])\s*(.+)|(\d+(?:\.\d+)+)\s+(\S.*)|([（(][一二三四五六七八九十\d]+[)）])\s*(.+))$")
-
-
-def section_heading(line: str) -> tuple[int, str] | None:
-    """Level and label of a section line; None for prose."""
-    m = _SECTION.match(line.strip())
-    if not m or len(line.strip()) > 60 or line.strip()[-1:] in "。！？；;,，":
-        return None
-    g = m.groups()
-    if g[0]:
-        return len(g[0]) - 1, g[1].strip()
-    if g[2]:
-        return 1, (g[2] + " " + g[3]).strip()
-    if g[4]:
-        return 2, (g[4] + g[5]).strip()
-    if g[6]:
-        return g[6].count(".") + 1, g[6] + " " + g[7].strip()
-    return 3, (g[8] + g[9]).strip()
-
-
-def _units(text: str) -> Iterator[tuple[int, int, tuple[str, ...]]]:
-    """Sentences with offsets and the path of headings above them; over-long ones are cut at a weak mark in their second half."""
-    path: list[tuple[int, str]] = []
-    at = 0
-    for line in text.split("\n"):
-        head = section_heading(line) if line.strip() else None
-        if head:
-            path = [p for p in path if p[0] < head[0]] + [head]
-        else:
-            for m in _SENTENCE.finditer(line):
-                a, z = m.span()
-                while z - a > CHUNK_SIZE:
-                    cut = max(line.rfind(c, a + CHUNK_SIZE // 2, a + CHUNK_SIZE) for c in ",，、 ")
-                    cut = cut + 1 if cut > 0 else a + CHUNK_SIZE
-                    yield at + a, at + cut, tuple(x for _, x in path)
-                    a = cut
-                if line[a:z].strip():
-                    yield at + a, at + z, tuple(x for _, x in path)
-        at += len(line) + 1
-
-
-def pack_units(units: list[tuple[int, int, tuple[str, ...]]], size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> list[tuple[int, int, tuple[str, ...]]]:
-    """Runs of units of one section (two path levels) up to four fifths of ``size``; a short tail joins the run before it.
-
-    A run after the first of its section starts with whole units of at most
-    ``overlap`` characters of the run before; no run holds these alone."""
-    soft, hard, least = size * 4 // 5, size * 5 // 4, max(80, size // 4)
-    out: list[tuple[int, int, tuple[str, ...]]] = []
-    k = 0
-    while k < len(units):
-        end = k
-        while end < len(units) and units[end][2][:2] == units[k][2][:2]:
-            end += 1
-        group, runs, run = units[k:end], [], []
-        for u in group:
-            if run and u[1] - run[0][0] > soft:
-                runs.append(run)
-                back = []
-                while run and run[-1 - len(back)][0] >= 0 and len(back) < len(run) - 1 and run[-1][1] - run[-1 - len(back)][0] <= overlap:
-                    back.append(run[-1 - len(back)])
-                run = back[::-1]
-            run = [*run, u]
-        if run:
-            fresh = run[-1][1] - (runs[-1][-1][1] if runs else run[0][0])
-            if runs and fresh < least and run[-1][1] - runs[-1][0][0] <= hard:
-                runs[-1] = [*runs[-1], *(u for u in run if u[0] >= runs[-1][-1][1])]
-            else:
-                runs.append(run)
-        for r in runs:
-            path = r[0][2]
-            for u in r:
-                while u[2][: len(path)] != path:
-                    path = path[:-1]
-            out.append((r[0][0], r[-1][1], path))
-        k = end
-    return out
-
-
-def chunks(docs: DataFrame, key: str, title: str, text: str, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """key, chunk_index, start, stop, section_path, content, content_hash of every text; a text without words gives none."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for k, name, t in zip(f[key], f[title], f[text], strict=True):
-                t = t or ""
-                for i, (a, z, path) in enumerate(pack_units(list(_units(t)), size, overlap)):
-                    rows.append((k, i, a, z, [name or "", *path], t[a:z].strip()))
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "start", "stop", "section_path", "content"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    got = docs.select(key, title, text).mapInPandas(run, f"{key} {kind}, chunk_index int, start int, stop int, section_path array<string>, content string")
-    return got.withColumn("content_hash", F.sha2("content", 256))
-
-
 def node_gate(name: Column, definition: Column, kind: Column, quote: Column, source: Column) -> Column:
     """Struct score, flags, accepted, verified of an extracted node."""
     n, d, q = F.trim(T.text(name)), F.trim(T.text(definition)), F.trim(T.text(quote))

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import relational as R
+from ..operators import alignment as A
 from ..operators import retrieval as V
+from ..operators import sections as X
 from ..operators import segmentation as G
+from ..operators.matching import standing
 from ..sources import tables as S
 
 QUERIES: dict = {}
@@ -48,18 +50,21 @@ def name_normalize(spark, sf_dir):
     return S.table(spark, sf_dir, "part").select("p_partkey", T.normalize_name(name).alias("name_key"), F.md5(T.normalize_evidence(F.concat_ws(" ", "p_type", "p_name"))).alias("evidence_key"))
 
 
-_GRAMS = "grams AS (SELECT p_partkey AS id, p_brand AS book, list_distinct(list_transform(range(1, length(n)), lambda i: substr(n, i, 2))) AS g FROM (SELECT *, regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') AS n FROM part WHERE p_size = 3))"
+_GRAMS = "grams AS (SELECT key, list_distinct(list_transform(range(1, length(key)), lambda i: substr(key, i, 2))) AS g FROM (SELECT DISTINCT regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') AS key FROM part))"
 
 
-@query(f"""WITH {_GRAMS} SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 4) AS score
-  FROM grams a JOIN grams b ON a.book < b.book WHERE len(list_intersect(a.g, b.g)) > 0""")
+@query(f"""WITH {_GRAMS}, m AS (SELECT regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') AS key, count(*) AS n FROM part GROUP BY 1)
+  SELECT a.key AS a, b.key AS b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 4) AS score, ma.n * mb.n AS n_pairs
+  FROM grams a JOIN grams b ON a.key < b.key JOIN m ma ON ma.key = a.key JOIN m mb ON mb.key = b.key WHERE len(list_intersect(a.g, b.g)) > 0""")
 def ngram_jaccard_pairs(spark, sf_dir):
-    """Similarity of names across books, for pairs that share a gram: an inverted index counts shared grams, so no pair is formed without one."""
-    p = S.table(spark, sf_dir, "part").where("p_size = 3").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("book"), T.ngrams("p_type").alias("g"))
-    g = p.select("id", "book", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    other = g.select(*(F.col(c).alias(f"{c}_b") for c in ("id", "book", "n")), "gram")
-    shared = g.join(other, "gram").where("book < book_b").groupBy("id", "id_b", "n", "n_b").agg(F.count("*").alias("k"))
-    return shared.select(F.col("id").alias("a"), F.col("id_b").alias("b"), F.round(F.col("k") / (F.col("n") + F.col("n_b") - F.col("k")), 4).alias("score"))
+    """Similarity of all names that share a gram, between the classes of equal names, with how many pairs of nodes each stands for.
+
+    An inverted index over the distinct names counts shared grams, so no pair is formed without one and copies cost nothing."""
+    named = S.table(spark, sf_dir, "part").groupBy(T.normalize_name("p_type").alias("key")).agg(F.count("*").alias("n"))
+    g = named.select("key", "n", T.ngrams("key").alias("g")).select("key", "n", F.size("g").alias("k"), F.explode("g").alias("gram"))
+    other = g.select(*(F.col(c).alias(f"{c}_b") for c in ("key", "n", "k")), "gram")
+    shared = g.join(other, "gram").where("key < key_b").groupBy("key", "key_b", "n", "n_b", "k", "k_b").agg(F.count("*").alias("both"))
+    return shared.select(F.col("key").alias("a"), F.col("key_b").alias("b"), F.round(F.col("both") / (F.col("k") + F.col("k_b") - F.col("both")), 4).alias("score"), (F.col("n") * F.col("n_b")).alias("n_pairs"))
 
 
 @query("""SELECT d.doc_id AS doc_id, b.item_id AS item_id FROM documents d, benchmark b
@@ -68,42 +73,62 @@ def evidence_verify(spark, sf_dir):
     """Verbatim evidence: which quotes stand in which documents, white space and case aside."""
     quotes = S.table(spark, sf_dir, "benchmark").select("item_id", T.normalize_evidence("text").alias("q")).where(F.length("q") >= 8)
     docs = S.table(spark, sf_dir, "documents").select("doc_id", T.normalize_evidence("text").alias("t"))
-    return R.stated(docs, quotes, F.col("t").contains(F.col("q"))).select("doc_id", "item_id")
+    return standing(docs, "doc_id", "t", quotes, "q").join(quotes, "q").select("doc_id", "item_id")
 
 
-_QUALITY = """SELECT p_partkey, score, flags, accepted FROM (SELECT p_partkey,
-  greatest(0.0, least(1.0, round(1.0 - .35 * (1 - (length(p_name) BETWEEN 2 AND 80)::INT) - .5 * (length(p_name) > 42)::INT - .2 * (length(p_type) < 8)::INT - .3 * (lower(p_type) = lower(p_name))::INT - .1 * (p_size > 45)::INT, 4))) AS score,
-  concat_ws(',', CASE WHEN length(p_name) NOT BETWEEN 2 AND 80 THEN 'invalid_name_length' END, CASE WHEN length(p_name) > 42 THEN 'sentence_as_name' END,
-    CASE WHEN length(p_type) < 8 THEN 'definition_too_short' END, CASE WHEN lower(p_type) = lower(p_name) THEN 'definition_repeats_name' END, CASE WHEN p_size > 45 THEN 'unknown_concept_type' END) AS flags,
-  length(p_name) BETWEEN 2 AND 80 AND length(p_name) <= 42 AS accepted FROM part)"""
+_QUALITY = """WITH c AS (SELECT p_partkey, p_name, p_type, CASE p_size % 7 WHEN 1 THEN p_type WHEN 2 THEN '' WHEN 3 THEN 'bad' || chr(65533) || p_type WHEN 4 THEN 'nothing that stands there' ELSE p_brand || ' ' || p_type END AS quote,
+    CASE WHEN p_size % 11 = 1 THEN p_type WHEN p_size % 11 = 2 THEN 'short' ELSE p_name || ' ' || p_type END AS def, CASE p_size % 5 WHEN 1 THEN 'formula' WHEN 2 THEN 'mechanism' ELSE 'concept' END AS kind,
+    CASE p_size % 13 WHEN 1 THEN '目录' WHEN 2 THEN '第3页' WHEN 3 THEN 'x' WHEN 4 THEN p_name || '，' || p_name || '，' || p_type WHEN 5 THEN p_type ELSE p_name END AS name, p_name || p_brand || p_type AS source FROM part),
+  b AS (SELECT *, lower(regexp_replace(quote, '\\s+', '', 'g')) AS q, lower(regexp_replace(source, '\\s+', '', 'g')) AS s FROM c),
+  f AS (SELECT *, length(q) >= 8 AND contains(s, q) AS verified FROM b),
+  r AS (SELECT p_partkey, verified, [CASE WHEN length(name) NOT BETWEEN 2 AND 80 THEN 'invalid_name_length' END, CASE WHEN name IN ('目录', '第3页') THEN 'noise_term' END, CASE WHEN name = '目录' THEN 'front_matter' END,
+      CASE WHEN length(name) > 42 OR name LIKE '%，%，%' THEN 'sentence_as_name' END, CASE WHEN length(def) < 8 THEN 'definition_too_short' END,
+      CASE WHEN lower(regexp_replace(def, '\\s+', '', 'g')) = lower(regexp_replace(name, '\\s+', '', 'g')) THEN 'definition_repeats_name' END, CASE WHEN kind = 'mechanism' THEN 'unknown_concept_type' END,
+      CASE WHEN quote = '' THEN 'missing_source_quote' END, CASE WHEN contains(quote, chr(65533)) THEN 'broken_source_quote' END, CASE WHEN quote <> '' AND NOT contains(quote, chr(65533)) AND NOT verified THEN 'source_quote_not_found' END] AS l FROM f),
+  w AS (SELECT p_partkey, verified, list_filter(l, lambda x: x IS NOT NULL) AS flags FROM r),
+  t AS (SELECT *, round(1.0::DOUBLE - coalesce(list_sum(list_transform(flags, lambda x: CASE x WHEN 'invalid_name_length' THEN 0.35 WHEN 'noise_term' THEN 0.5 WHEN 'front_matter' THEN 1.0 WHEN 'sentence_as_name' THEN 0.5 WHEN 'definition_too_short' THEN 0.2
+      WHEN 'definition_repeats_name' THEN 0.3 WHEN 'unknown_concept_type' THEN 0.1 WHEN 'broken_source_quote' THEN 1.0 ELSE 0.35 END::DOUBLE)), 0), 4) AS raw FROM w)
+  SELECT p_partkey, greatest(0.0::DOUBLE, least(1.0::DOUBLE, raw)) AS score, array_to_string(flags, ',') AS flags, verified,
+    raw >= 0.45 AND len(list_filter(flags, lambda x: x NOT IN ('definition_too_short', 'definition_repeats_name', 'unknown_concept_type'))) = 0 AS accepted FROM t"""
 
 
 @query(_QUALITY)
 def quality_gate_nodes(spark, sf_dir):
-    p = S.table(spark, sf_dir, "part").withColumn("kind", F.when(F.col("p_size") > 45, "odd").otherwise("concept"))
-    q = F.concat_ws(" ", "p_name", "p_brand", "p_type")
-    gate = G.node_gate(F.col("p_name"), F.col("p_type"), F.col("kind"), q, q)
-    return p.select("p_partkey", gate["score"].alias("score"), F.array_join(gate["flags"], ",").alias("flags"), gate["accepted"].alias("accepted"))
-
-
-@query("""SELECT l_orderkey, l_linenumber, greatest(0.0, 1.0 - (l_partkey = l_suppkey)::INT - (p_partkey IS NULL OR s_suppkey IS NULL)::INT - (l_returnflag = 'N')::INT) AS score,
-  1.0 - (l_partkey = l_suppkey)::INT - (p_partkey IS NULL OR s_suppkey IS NULL)::INT - (l_returnflag = 'N')::INT >= 0.5 AS accepted
-  FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size <= 45 LEFT JOIN supplier ON s_suppkey = l_suppkey""")
+    """The gate of extracted nodes; every flag is raised by some rows."""
+    c, size = F.col, F.col("p_size")
+    quote = F.when(size % 7 == 1, c("p_type")).when(size % 7 == 2, "").when(size % 7 == 3, F.concat(F.lit("bad\ufffd"), "p_type")).when(size % 7 == 4, "nothing that stands there").otherwise(F.concat_ws(" ", "p_brand", "p_type"))
+    definition = F.when(size % 11 == 1, c("p_type")).when(size % 11 == 2, "short").otherwise(F.concat_ws(" ", "p_name", "p_type"))
+    kind = F.when(size % 5 == 1, "formula").when(size % 5 == 2, "mechanism").otherwise("concept")
+    name = F.when(size % 13 == 1, "目录").when(size % 13 == 2, "第3页").when(size % 13 == 3, "x").when(size % 13 == 4, F.concat("p_name", F.lit("，"), "p_name", F.lit("，"), "p_type")).when(size % 13 == 5, c("p_type")).otherwise(c("p_name"))
+    gate = G.node_gate(name, definition, kind, quote, F.concat("p_name", "p_brand", "p_type"))
+    return S.table(spark, sf_dir, "part").select("p_partkey", gate["score"].alias("score"), F.array_join(gate["flags"], ",").alias("flags"), gate["verified"].alias("verified"), gate["accepted"].alias("accepted"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_partkey IS NOT NULL AND s_suppkey IS NOT NULL AS known, ['contains', 'causes', 'supports', 'precedes', 'example_of', 'conflicts_with', 'extends'][l_linenumber] AS rel,
+    CASE l_returnflag WHEN 'A' THEN '' WHEN 'N' THEN own ELSE 'a quote that is absent' END AS quote FROM (SELECT *, 'order ' || l_orderkey || ' line' AS own FROM lineitem)
+    LEFT JOIN part ON p_partkey = l_partkey AND p_size <= 45 LEFT JOIN supplier ON s_suppkey = l_suppkey),
+  f AS (SELECT *, rel IN ('causes', 'supports', 'conflicts_with') AS semantic, rel IN ('contains', 'example_of') AS structural, quote LIKE 'order%' AS found FROM c),
+  w AS (SELECT *, 1.0::DOUBLE - (l_partkey = l_suppkey)::INT - (NOT known)::INT - (NOT semantic AND NOT structural)::INT - 0.6::DOUBLE * (semantic AND NOT found)::INT AS raw FROM f)
+  SELECT l_orderkey, l_linenumber, greatest(0.0::DOUBLE, round(raw, 4)) AS score, raw >= 0.5 AS accepted, structural OR (semantic AND found) AS verified FROM w""")
 def edge_quality_gate(spark, sf_dir):
+    """The gate of extracted edges, with supported and unsupported relations, and quotes that stand in the source, do not, or are missing."""
     lines, part, sup = (S.table(spark, sf_dir, n) for n in ("lineitem", "part", "supplier"))
     known = part.where("p_size <= 45").select("p_partkey")
     j = lines.join(known, F.col("p_partkey") == F.col("l_partkey"), "left").join(sup.select("s_suppkey"), F.col("s_suppkey") == F.col("l_suppkey"), "left")
-    relation = F.when(F.col("l_returnflag") == "N", "guess").otherwise("contains")
-    gate = G.edge_gate(F.col("l_partkey"), F.col("l_suppkey"), relation, F.col("p_partkey").isNotNull() & F.col("s_suppkey").isNotNull(), F.lit(""), F.lit(""))
-    return j.select("l_orderkey", "l_linenumber", gate["score"].alias("score"), gate["accepted"].alias("accepted"))
+    relation = F.array(*map(F.lit, ("contains", "causes", "supports", "precedes", "example_of", "conflicts_with", "extends")))[F.col("l_linenumber") - 1]
+    own = F.concat_ws(" ", F.lit("order"), F.col("l_orderkey").cast("string"), F.lit("line"))
+    quote = F.when(F.col("l_returnflag") == "A", "").when(F.col("l_returnflag") == "N", own).otherwise("a quote that is absent")
+    gate = G.edge_gate(F.col("l_partkey"), F.col("l_suppkey"), relation, F.col("p_partkey").isNotNull() & F.col("s_suppkey").isNotNull(), quote, F.concat_ws(" ", F.lit("in"), own))
+    return j.select("l_orderkey", "l_linenumber", gate["score"].alias("score"), gate["accepted"].alias("accepted"), gate["verified"].alias("verified"))
 
 
 _BM25 = """tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents),
   len AS (SELECT d.doc_id, len(regexp_extract_all(lower(d.text), '[a-z0-9]+')) AS dl FROM documents d), st AS (SELECT count(*) AS N, avg(dl) AS avgdl FROM len),
   tf AS (SELECT doc_id, token, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
   q AS (SELECT item_id, token, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark) GROUP BY ALL),
-  scored AS (SELECT q.item_id, tf.doc_id, round(sum(qtf * ln((N - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
-    FROM q JOIN tf USING (token) JOIN df USING (token) JOIN len USING (doc_id), st GROUP BY ALL),
+  raw AS (SELECT token, ln((N - df + 0.5) / (df + 0.5)) AS w FROM df, st), idf AS (SELECT token, CASE WHEN w < 0 THEN 0.25 * (SELECT avg(w) FROM raw) ELSE w END AS idf FROM raw),
+  scored AS (SELECT q.item_id, tf.doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+    FROM q JOIN tf USING (token) JOIN idf USING (token) JOIN len USING (doc_id), st GROUP BY ALL),
   bm AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)"""
 
 
@@ -174,8 +199,8 @@ def eval_metrics(spark, sf_dir):
 def evidence_exact(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """item_id, doc_id where the quote stands in the document, white space aside."""
     bare = lambda c: F.regexp_replace(T.text(c), r"\s+", "")
-    found = R.stated(docs.select("doc_id", bare("text").alias("t")), quotes.select("item_id", bare("text").alias("q")), F.col("t").contains(F.col("q")))
-    return found.select("item_id", "doc_id").distinct()
+    asked = quotes.select("item_id", bare("text").alias("q"))
+    return standing(docs.select("doc_id", bare("text").alias("t")), "doc_id", "t", asked, "q").join(asked, "q").select("item_id", "doc_id")
 
 
 @query("""SELECT lang, source, count(*) AS n, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END)::BIGINT AS numerator, round(avg(quality), 4) AS share FROM documents JOIN labels USING (doc_id) GROUP BY lang, source""")
@@ -247,35 +272,30 @@ def page_statistics(spark, sf_dir):
     return S.page_statistics(S.table(spark, sf_dir, "documents"), "text", ("source",))
 
 
-_BLOCK = """g AS (SELECT p_partkey AS id, p_brand AS book, unnest(list_distinct(list_transform(range(1, length(n) - 1), lambda i: substr(n, i, 3)))) AS gram FROM (SELECT *, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS n FROM part)),
-  c AS (SELECT gram FROM g GROUP BY gram HAVING count(*) <= 200)"""
+_BLOCK = """n AS (SELECT p_partkey AS id, p_brand AS book, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS name, regexp_replace(lower(substr(p_type, 1, 260)), '[^a-z0-9]', '', 'g') AS def FROM part),
+  g AS (SELECT id, book, 'name' AS field, 3 AS w, 200 AS most, unnest(list_distinct(list_transform(range(1, length(name)), lambda i: substr(name, i, 2)))) AS gram FROM n
+    UNION ALL SELECT id, book, 'definition', 1, 120, unnest(list_distinct(list_transform(range(1, length(def) - 1), lambda i: substr(def, i, 3)))) FROM n),
+  c AS (SELECT field, gram FROM g GROUP BY field, gram, most HAVING count(*) <= most)"""
 
 
-@query(f"""WITH {_BLOCK}, p AS (SELECT a.id AS a, b.id AS b, count(*) AS weight FROM g a JOIN c USING (gram) JOIN g b USING (gram) WHERE a.book <> b.book AND a.id <> b.id GROUP BY ALL)
+@query(f"""WITH {_BLOCK}, p AS (SELECT a.id AS a, b.id AS b, sum(a.w)::BIGINT AS weight FROM g a JOIN c USING (field, gram) JOIN g b USING (field, gram) WHERE a.book <> b.book AND a.id <> b.id GROUP BY ALL)
   SELECT a, b, weight FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b) AS k FROM p) WHERE k <= 10""")
 def blocking_candidates(spark, sf_dir):
-    """Ten candidates for each node from an inverted index over name grams; buckets over 200 nodes carry no signal and are left out by rule."""
-    from ..operators import alignment as A
-
-    p = S.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("book"), F.col("p_name").alias("name"))
-    return A.blocks(p, "id", "book", {"name": (3, 1)}, bucket=200, top=10).select("a", "b", "weight")
+    """Ten candidates for each node from an inverted index over name pairs and definition triples; grams of over 200 and 120 nodes are left out by rule."""
+    p = S.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("book"), F.col("p_name").alias("name"), F.col("p_type").alias("definition"))
+    return A.blocks(p, "id", "book").select("a", "b", "weight")
 
 
 @query()
 def alignment_scores(spark, sf_dir):
     """Scored and qualified pairs of concepts across books."""
-    from ..operators import alignment as A
-
-    p = S.table(spark, sf_dir, "part").where("p_size <= 6").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("book"), F.col("p_name").alias("name"), F.col("p_type").alias("definition"), F.col("p_brand").alias("chapter"))
-    pairs = A.blocks(p, "id", "book", {"name": (3, 3), "definition": (3, 1)}, bucket=200, top=10)
-    return A.scored(pairs, p, "id")
+    p = S.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("book"), F.col("p_name").alias("name"), F.col("p_type").alias("definition"), F.col("p_brand").alias("chapter"))
+    return A.scored(A.blocks(p, "id", "book"), p, "id")
 
 
 @query()
 def sequence_ratio(spark, sf_dir):
     """Ratcliff-Obershelp ratio of each name and its type."""
-    from ..operators import alignment as A
-
     return S.table(spark, sf_dir, "part").select("p_partkey", A.sequence_ratio(F.col("p_name"), F.col("p_type")).alias("ratio"))
 
 
@@ -283,13 +303,11 @@ def sequence_ratio(spark, sf_dir):
 def semantic_chunks(spark, sf_dir):
     """Section-aware chunks of every document, with offsets and paths."""
     d = S.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return G.chunks(d, "doc_id", "source", "text")
+    return X.chunks(d, "doc_id", "source", "text")
 
 
 @query()
 def greedy_compression(spark, sf_dir):
     """Which parts of each brand a budget of three tenths of its characters keeps."""
-    from ..operators import alignment as A
-
     p = S.table(spark, sf_dir, "part").select(F.col("p_brand").alias("book"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"), F.length(F.concat("p_name", "p_type")).alias("size"), (F.col("p_size") == 1).alias("locked"))
     return A.greedy_budget(p, "book", "id", "score", "size", "locked", 0.3)

@@ -64,7 +64,8 @@ def test_support_and_refusal(spark):
 def test_alignment_is_book_scoped_and_specific(spark):
     rows = [(1, "A", "细胞坏死", "细胞的不可逆死亡过程", "损伤"), (2, "B", "细胞坏死", "细胞不可逆的死亡", "损伤"), (3, "A", "细胞坏死灶", "局部坏死", "x"), (4, "B", "疾病", "疾病概念", "y"), (5, "A", "疾病", "另一种概念", "z")]
     d = spark.createDataFrame(rows, "id int, book string, name string, definition string, chapter string")
-    pairs = A.blocks(d, "id", "book", {"name": (3, 3), "definition": (3, 1)}, bucket=200, top=10)
+    pairs = A.blocks(d, "id", "book")
+    assert A.blocks(d, "id", "book", {"name": A.Grams(2, 3, 1)}).count() == 0
     got = {(r.a, r.b): r for r in A.scored(pairs, d, "id").collect()}
     assert (1, 3) not in got and got[1, 2].score >= 0.9 and got[1, 2].qualified
     assert got[2, 3].name_score == round(SequenceMatcher(None, "细胞坏死", "细胞坏死灶").ratio(), 4)
@@ -117,3 +118,55 @@ def test_water_level(spark, sizes):
     level = D.water_level(d, ["g"], "id", "n", 0.5).first().level
     budget = sum(sizes) * 0.5
     assert sum(min(n, level) for n in sizes) <= budget < sum(min(n, level + 1) for n in sizes)
+
+
+def test_eligible_nodes(spark):
+    rows = [
+        (1, "b", "细胞坏死", "细胞的不可逆死亡过程", "细胞坏死是细胞的不可逆死亡过程", "第一章 损伤", "core_concept", "verified", 3, 0.9),
+        (2, "b", "细胞坏死。", "细胞的不可逆死亡过程", "细胞坏死是细胞的不可逆死亡过程", "第一章 损伤", "core_concept", "verified", 3, 0.9),
+        (3, "b", "第一节 细胞坏死", "细胞的另一种定义在这里", "细胞坏死是细胞的不可逆死亡过程", "第一章 损伤", "section_topic", "verified", 5, 0.1),
+        (4, "b", "肝炎的治疗", "细胞的不可逆死亡过程", "细胞坏死是细胞的不可逆死亡过程", "x", "core_concept", "verified", 3, 0.9),
+        (5, "b", "概述", "细胞的不可逆死亡过程", "细胞坏死是细胞的不可逆死亡过程", "x", "core_concept", "verified", 3, 0.9),
+        (6, "b", "凋亡", "短", "细胞坏死是细胞的不可逆死亡过程", "x", "core_concept", "verified", 3, 0.9),
+        (7, "b", "凋亡", "细胞的程序性死亡过程", "短", "x", "core_concept", "verified", 3, 0.9),
+        (8, "b", "凋亡", "细胞的程序性死亡过程", "细胞坏死是细胞的不可逆死亡过程", "前言", "core_concept", "verified", 3, 0.9),
+        (9, "b", "凋亡", "细胞的程序性死亡过程", "细胞坏死是细胞的不可逆死亡过程", "x", "chapter_topic", "verified", 3, 0.9),
+        (10, "c", "凋亡", "细胞的程序性死亡过程", "细胞坏死是细胞的不可逆死亡过程", None, "core_concept", "verified", 3, 0.9),
+    ]
+    d = spark.createDataFrame(rows, "id int, book string, name string, definition string, source_paragraph string, chapter string, granularity string, evidence_status string, importance int, quality_score double")
+    assert sorted(r.id for r in A.eligible(d, "book", "id").collect()) == [3, 10]
+
+
+def test_compression_keeps_prerequisites_and_chapters(spark):
+    rows = [("g", 1, "a", 5.0, 60, False, False), ("g", 2, "a", 4.0, 30, False, False), ("g", 3, "b", 3.0, 90, False, False), ("g", 4, "b", 2.0, 90, False, False), ("g", 5, "c", 1.0, 90, False, True), ("g", 6, "a", 0.5, 95, False, False), ("g", 7, "a", 0.4, 90, True, False)]
+    d = spark.createDataFrame(rows, "g string, id int, chapter string, s double, n int, locked boolean, merged boolean")
+    edges = spark.createDataFrame([(6, 2), (4, 3)], "source int, target int")
+    got = {r.id: r.why for r in A.compressed(d, edges, "g", "id", "chapter", "s", "n", "locked", "merged", 0.5).collect()}
+    assert got == {7: "locked", 5: "merged", 1: "budget", 2: "budget", 6: "prerequisite", 3: "chapter"}
+
+
+def test_matching_strings(spark):
+    from corpusgraph.operators import matching as M
+
+    d = spark.createDataFrame([(1, "abcab"), (2, "xbc"), (3, None), (4, "")], "id int, t string")
+    q = spark.createDataFrame([("ab",), ("bc",), ("abc",), ("zz",), ("",), (None,), ("ab",)], "p string")
+    assert sorted(map(tuple, M.standing(d, "id", "t", q, "p").collect())) == [(1, "ab"), (1, "abc"), (1, "bc"), (2, "bc")]
+    assert {r.p for r in M.present(d, "t", q, "p").collect()} == {"ab", "bc", "abc"}
+    assert M.standing(d, "id", "t", q.limit(0), "p").count() == 0 == M.present(d.limit(0), "t", q, "p").count()
+
+
+def test_too_common_tokens_weigh_a_quarter_of_the_mean(spark):
+    import math
+
+    texts = ["common rare", "common other", "common third thing", "nothing else"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    q = spark.createDataFrame([(1, "common rare")], "q int, s string")
+    got = {r.id: r.score for r in V.bm25(d, q, "id", "t", "q", "s").collect()}
+    docs = [x.split() for x in texts]
+    df = {w: sum(w in x for x in docs) for x in docs for w in x}
+    idf = {w: math.log(4 - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    mean = sum(idf.values()) / len(idf)
+    idf = {w: v if v >= 0 else 0.25 * mean for w, v in idf.items()}
+    size = sum(map(len, docs)) / 4
+    want = {i: sum(idf[w] * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(x) / size)) for w in ("common", "rare") if w in x) for i, x in enumerate(docs)}
+    assert got == {i: round(v, 6) for i, v in want.items() if v > 0}

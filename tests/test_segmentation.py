@@ -30,24 +30,16 @@ def test_page_groups_and_spans(spark):
     assert [(r.start, r.stop) for r in spans] == [(0, 64), (66, 130), (132, 196)]
 
 
-def test_section_headings():
-    assert G.section_heading("第二节 血管") == (1, "第二节 血管") and G.section_heading("## Walls") == (1, "Walls")
-    assert G.section_heading("一、概述") == (2, "一、概述") and G.section_heading("2.1.3 Cells") == (3, "2.1.3 Cells")
-    assert G.section_heading("（一）病因") == (3, "（一）病因") and G.section_heading("一、这是一个句子。") is None and G.section_heading("plain") is None
-
-
-def test_chunks_cover_the_text_and_respect_sections(spark):
-    text = "## One\n" + "A sentence here. " * 120 + "\n## Two\n" + "b" * 1500 + ".\nShort tail."
-    got = G.chunks(frame(spark, text), "key", "title", "text").orderBy("chunk_index").collect()
-    assert [r.chunk_index for r in got] == list(range(len(got))) and len(got) > 4
-    assert all(r.stop - r.start <= 600 * 5 // 4 and text[r.start : r.stop].strip() == r.content for r in got)
-    assert {tuple(r.section_path) for r in got} == {("Book", "One"), ("Book", "Two")}
-    body = text.replace("## One\n", "").replace("## Two\n", "")
-    covered = {i for r in got for i in range(r.start, r.stop)}
-    assert len([i for i in covered if not text[i].isspace()]) == len([c for c in body if not c.isspace()])
-    for a, b in zip(got, got[1:]):
-        assert b.stop > a.stop and (b.start >= a.start)
-    assert G.chunks(frame(spark, None), "key", "title", "text").count() == 0 == G.chunks(frame(spark, " \n "), "key", "title", "text").count()
+def test_introduction_is_a_chapter_of_its_own(spark):
+    long_, short = "前言正文。" * 60, "短。"
+    for opening, titles in ((long_, ["绪论/前言", "第一章 细胞"]), (short, ["第一章 细胞"])):
+        d = frame(spark, opening + "\n第一章 细胞\n" + "内容。" * 40)
+        marks = G.heading_marks(G.lines(d, "key", "text"), "key")
+        got = G.chapters(G.without_contents(marks, "key"), d, "key", "text", every_mark=marks).orderBy("order_index").collect()
+        assert [r.title for r in got] == titles and [r.order_index for r in got] == list(range(len(titles)))
+    d = frame(spark, BOOK)
+    marks = G.heading_marks(G.lines(d, "key", "text"), "key")
+    assert G.chapters(G.without_contents(marks, "key"), d, "key", "text", every_mark=marks).where("title = '绪论/前言'").count() == 0
 
 
 def test_gates(spark):

@@ -26,7 +26,7 @@ def value(spark, make, *args):
     (T.ngrams, "ab", ["ab"]), (T.ngrams, "abc", ["ab", "bc"]), (T.ngrams, "", []), (T.ngrams, "aaaa", ["aa"]),
     (T.title_of_file, "/data/03_病理学.pdf", "病理学"),
     (T.numeral, "二十三", 23), (T.numeral, "十", 10), (T.numeral, "十五", 15), (T.numeral, "7", 7), (T.numeral, "九", 9), (T.numeral, "x", None), (T.numeral, "四十", 40),
-    (T.title_aliases, "医学免疫与微生物", ["医学免疫与微生物", "免疫与微生物", "医学免疫", "微生物"]),
+    (T.title_aliases, "医学免疫 与微生物", ["医学免疫与微生物", "免疫与微生物", "医学免疫", "微生物"]),
     (T.escape_markdown, "a*b_[c]", r"a\*b\_\[c\]"),
     (T.reflow, "wrapped\nline 断\n行\n\nnext", "wrapped line 断行\n\nnext"),
     (T.figure_labels, "见图 3－2 和图3-2、图 4-1", ["3-2", "4-1"]),
