@@ -47,7 +47,7 @@ LARGE, HUBS = 4, 1
 #: Cells of a sketch.
 CELLS = 512
 #: Index rows handled at a time, words whose hashes are held, parts in which the index is dealt, one after another.
-ROWS, HELD, SLICES = 1 << 20, 1 << 19, 4
+ROWS, HELD, SLICES = 1 << 18, 1 << 17, 4
 #: Rows of two numbers up to which a table is broadcast.
 SMALL = 1_000_000
 
@@ -259,11 +259,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in new], pa.int64()), pa.array([shingles(x, known).tobytes() for x in texts], pa.binary())], ["node", "all"])
 
 
+def _held(column: pa.Array) -> Iterator[np.ndarray]:
+    """The sets of a column, one after another, where they lie in memory."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    for a, z in zip(ends, ends[1:]):
+        yield np.frombuffer(data, np.uint8)[a:z].view(np.uint64) if z > a else np.zeros(0, np.uint64)
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         good = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for one, two in zip(_held(b.column(2)), _held(b.column(3)), strict=True):
             both = len(np.intersect1d(one, two, assume_unique=True))
             good.append(UNDER * both >= OVER * (len(one) + len(two) - both))
         yield pa.RecordBatch.from_arrays([pc.filter(b.column(i), pa.array(good, pa.bool_())) for i in range(2)], ["a", "b"])

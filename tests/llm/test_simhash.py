@@ -82,3 +82,19 @@ def test_bit_counts_over_many_blocks():
     h = np.random.default_rng(1).integers(0, 2**63, 70_001, dtype=np.uint64)
     want = [(int(((h >> np.uint64(63 - b)) & np.uint64(1)).sum())) for b in range(64)]
     assert simhash._bit_counts(h).tolist() == want
+
+
+def test_components_in_rounds_and_at_once(spark, monkeypatch):
+    """Long chains, stars and loops, with null ends, contracted in rounds or joined by one task."""
+    from corpusgraph.llm import components as C
+
+    rows = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 140)] + [(300, 300), (None, 5), (7, None), (-5, -6)]
+    d = spark.createDataFrame(rows, "a long, b long")
+    for few in (10_000, 5, 0):
+        monkeypatch.setattr(C, "FEW", few)
+        got = {r.node: r.root for r in C.components(d).collect()}
+        groups = {}
+        for node, root in got.items():
+            groups.setdefault(root, set()).add(node)
+        assert sorted(map(sorted, groups.values())) == [[-6, -5], list(range(1, 41)), list(range(100, 140))] and all(root in g for root, g in groups.items())
+    assert C.components(d.limit(0)).count() == 0
