@@ -44,8 +44,8 @@ WORDS, OVER, UNDER = 5, 4, 5
 SAMPLE_DOCS, COMMON = 4000, 200_000
 #: Texts up to which a key emits all its pairs, and texts that stand for a larger one at first.
 LARGE, HUBS = 4, 1
-#: Cells of a sketch.
-CELLS = 512
+#: Fewest and most cells of a sketch; it has two for a shingle at least in between.
+CELLS, MOST_CELLS = 512, 1 << 15
 #: Index rows handled at a time, words whose hashes are held, parts in which the index is dealt, one after another.
 ROWS, HELD, SLICES = 1 << 18, 1 << 17, 4
 #: Rows of two numbers up to which a table is broadcast.
@@ -87,8 +87,9 @@ def _fingerprint(h: np.ndarray) -> int:
 
 
 def _sketch(h: np.ndarray) -> bytes:
-    """Parities of the shingles in ``CELLS`` cells: two sketches differ in at most as many cells as their sets in shingles."""
-    return np.packbits(np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1).tobytes()
+    """Parities of the shingles in cells: two sketches differ in at most as many cells as their sets in shingles."""
+    cells = min(MOST_CELLS, max(CELLS, 1 << (2 * len(h) - 1).bit_length())) if len(h) else CELLS
+    return np.packbits(np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).tobytes()
 
 
 def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -235,11 +236,25 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
 
+def _held(column: pa.Array) -> Iterator[np.ndarray]:
+    """The binary values of a column as 64-bit numbers, one after another, where they lie in memory."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    for a, z in zip(ends, ends[1:]):
+        yield np.frombuffer(data, np.uint8)[a:z].view(np.uint64) if z > a else np.zeros(0, np.uint64)
+
+
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates whose sketches allow the similarity; rows are a, b, sizes of both together, sketches of both."""
     for b in batches:
-        one, two = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(-1, CELLS // 64) for i in (3, 4))
-        differ = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
+        differ = np.zeros(b.num_rows, np.int64)
+        for k, (x, y) in enumerate(zip(_held(b.column(3)), _held(b.column(4)), strict=True)):
+            # a sketch with twice the cells is folded: what falls into one cell then has the parity of both
+            while len(x) > len(y):
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            while len(y) > len(x):
+                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+            differ[k] = int(np.bitwise_count(x ^ y).sum())
         good = (OVER + UNDER) * differ <= (UNDER - OVER) * b.column(2).to_numpy()
         yield pa.RecordBatch.from_arrays([pc.filter(b.column(i), pa.array(good)) for i in range(2)], ["a", "b"])
 
@@ -259,14 +274,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in new], pa.int64()), pa.array([shingles(x, known).tobytes() for x in texts], pa.binary())], ["node", "all"])
 
 
-def _held(column: pa.Array) -> Iterator[np.ndarray]:
-    """The sets of a column, one after another, where they lie in memory."""
-    _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
-    for a, z in zip(ends, ends[1:]):
-        yield np.frombuffer(data, np.uint8)[a:z].view(np.uint64) if z > a else np.zeros(0, np.uint64)
-
-
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         good = []
