@@ -37,8 +37,11 @@ from .bwt import least_of_windows
 from .common import drop_shuffles, shared_dir, written
 
 WINDOW, GRAM = 50, 24
-#: Bytes of text in a block; blocks to a bucket; windows in a stretch; strings in one transform.
-BLOCK_BYTES, PER_BUCKET, LONGEST, STRINGS = 4_000_000, 4, WINDOW - GRAM + 1, 4096
+#: Bytes of text in a block, and the most of them; blocks to a bucket; windows in a stretch; strings in one transform.
+BLOCK_BYTES, MOST_BLOCK_BYTES, PER_BUCKET, LONGEST, STRINGS = 4_000_000, 256_000_000, 4, WINDOW - GRAM + 1, 4096
+#: Blocks up to which a block keeps its size; beyond them blocks grow with the root of the input, so that a
+#: message from a block to a bucket never shrinks to nothing.  Spark allows 100,000 files of a bucketed table.
+STEADY_BLOCKS, MOST_FILES = 10_000, 50_000
 #: Blocks that share a minimizer from which on its windows are dealt one by one.
 HOT_BLOCKS = 2000
 #: Bytes of a long document whose windows are hashed at a time.
@@ -82,11 +85,12 @@ class Block:
     """The documents of a block in a fixed order, and their stretches."""
 
     def __init__(self, table: pa.Table):
-        ids = [NO_ID if x is None else x for x in table.column("doc_id").to_pylist()]
+        given = table.column("doc_id").to_pylist()
         texts = table.column("text").cast(pa.binary()).to_pylist()
-        rows = sorted(zip(ids, texts, strict=True))
-        self.texts = [t for _, t in rows]
-        self.ids = np.array([i for i, _ in rows], np.int64)
+        rows = sorted((NO_ID if x is None else x, t, x is None) for x, t in zip(given, texts, strict=True))
+        self.texts = [t for _, t, _ in rows]
+        self.ids = np.array([i for i, _, _ in rows], np.int64)
+        self.named = [None if none else i for i, _, none in rows]
         self.begin = np.concatenate([[0], np.cumsum([len(t) for t in self.texts], dtype=np.int64)])
         self.raw = b"".join(self.texts)
         self.bytes = np.frombuffer(self.raw, np.uint8)
@@ -339,7 +343,7 @@ def _mark(buckets: int):
         rows = []
         for k, text in enumerate(block.texts):
             c = covered[block.begin[k] : block.begin[k + 1]]
-            doc = None if block.ids[k] == NO_ID else int(block.ids[k])
+            doc = block.named[k]
             if not c.any():
                 rows.append((doc, len(text), [], text))
                 continue
@@ -355,18 +359,22 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_blocks:
 
     Texts are UTF-8 bytes, null is empty; matches never cross documents and are
     judged on the input.  Texts under WINDOW bytes lose nothing.  Rows with one
-    id do not remove from each other; a null id counts as larger than any.  An
-    empty table gives no rows.  Long documents are read whole."""
+    id do not remove from each other; a null id counts as the largest long, and so
+    larger than any other.  An empty table gives no rows.  Long documents are read whole."""
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = text.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
+    if blocks > STEADY_BLOCKS:
+        blocks = -(-total // min(MOST_BLOCK_BYTES, int(block_bytes * (blocks / STEADY_BLOCKS) ** 0.5)))
+    # by id and text, so that the rows of one id, or of none, are not one block
+    dealt = text.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     buckets = max(1, blocks // PER_BUCKET)
-    dealt = text.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    files = min(MOST_FILES, buckets)
     name = f"repeats_{uuid.uuid4().hex}"
     (
-        dealt.repartition(buckets, "block").write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd")
-        .bucketBy(buckets, "block").saveAsTable(name)
+        dealt.repartition(files, "block").write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd")
+        .bucketBy(files, "block").saveAsTable(name)
     )
     atexit.register(_drop, spark, name)
     drop_shuffles(spark)

@@ -80,3 +80,16 @@ def test_null_ids_and_empty(spark, docs):
     got = {r.doc_id: len(r.kept) for r in repeats.remove_repeats(d).collect()}
     assert got == {None: 0, 7: 60}
     assert repeats.remove_repeats(d.limit(0)).collect() == []
+
+
+def test_largest_id_and_many_blocks(spark, docs, monkeypatch):
+    """The largest long is an id of its own; blocks beyond STEADY_BLOCKS grow, and files of the table stay few."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(repeats, "STEADY_BLOCKS", 2)
+    monkeypatch.setattr(repeats, "MOST_FILES", 3)
+    t = texts()
+    d = docs(t).withColumn("doc_id", F.when(F.col("doc_id") == len(t) - 1, F.lit(2**63 - 1)).otherwise(F.col("doc_id")))
+    got = repeats.remove_repeats(d, block_bytes=2_000).collect()
+    mine = sorted((r.doc_id, r.n_bytes, tuple((s.start, s.stop) for s in r.spans), bytes(r.kept)) for r in got)
+    assert mine == brute([(r.doc_id, (r.text or "").encode()) for r in d.collect()]) and mine[-1][0] == 2**63 - 1
