@@ -127,14 +127,17 @@ def tree_findings(rows: DataFrame, key: str, parent: str, level: str, order: str
 def parent_of(rows: DataFrame, group: list[str], order: str, level: str, key: str) -> DataFrame:
     """Adds parent: the last row before that has a smaller level, null at the top.
 
-    One window for each level that can be a parent, not a self-join; levels go to six."""
+    The levels there are (a few numbers) are read first; one pass in order then
+    keeps the last row of each."""
+    levels = sorted(r[0] for r in rows.select(level).distinct().collect() if r[0] is not None)
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    lasts = [F.last(F.when(F.col(level) == k, F.struct(F.col(order).alias("o"), F.col(key).alias("k"))), ignorenulls=True).over(w) for k in range(1, 7)]
-    out = rows
-    for k, c in enumerate(lasts, 1):
-        out = out.withColumn(f"_l{k}", c)
-    best = F.greatest(*(F.when(F.col(level) > k, F.col(f"_l{k}")) for k in range(1, 7)), F.lit(None).cast(out.schema["_l1"].dataType))
-    return out.withColumn("parent", best["k"]).drop(*(f"_l{k}" for k in range(1, 7)))
+    here = F.struct(F.col(order).alias("o"), F.col(key).alias("k"))
+    lasts = {f"_l{i}": F.last(F.when(F.col(level) == k, here), ignorenulls=True).over(w) for i, k in enumerate(levels)}
+    out = rows.withColumns(lasts) if lasts else rows
+    below = [F.when(F.col(level) > k, F.col(f"_l{i}")) for i, k in enumerate(levels)]
+    none = F.lit(None).cast(rows.schema[key].dataType)
+    best = F.greatest(*below, *below[:1])["k"] if below else none
+    return out.withColumn("parent", best).drop(*lasts)
 
 
 def merged_batches(current: DataFrame, deltas: DataFrame, batch: str, key: str, foreign: Column, most: int) -> DataFrame:

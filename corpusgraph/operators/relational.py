@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 
 def edges_of_nodes(edges: DataFrame, nodes: DataFrame, source: str, node: str) -> DataFrame:
     """Edges that start in ``nodes``."""
@@ -84,16 +86,17 @@ def reconcile(existing: DataFrame, found: DataFrame, left: str, right: str) -> D
     return old.join(new, ["a", "b"], "full_outer").select("a", "b", action.alias("action"))
 
 
-def descendants(spark, edges: DataFrame, parent: str, child: str, name: str = "tree_edges") -> DataFrame:
-    """root, node, depth: every node below every parent, cycles cut by depth and by distinct pairs."""
-    edges.select(F.col(parent).alias("parent"), F.col(child).alias("child")).createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE below(root, node, depth) AS (
-          SELECT parent, child, 1 FROM {name}
-          UNION ALL
-          SELECT b.root, e.child, b.depth + 1 FROM below b JOIN {name} e ON e.parent = b.node WHERE b.depth < 16 AND e.child <> b.root
-        )
-        SELECT root, node, min(depth) AS depth FROM below GROUP BY root, node""")
+def descendants(edges: DataFrame, parent: str, child: str) -> DataFrame:
+    """root, node, depth: every node below every parent once, with its least depth; loops end where nothing new is found.
+
+    Rounds over the frontier of the round before, each written; a pair is followed once, however many ways lead to it."""
+    step = edges.select(F.col(parent).alias("_up"), F.col(child).alias("_down")).where("_up IS NOT NULL AND _down IS NOT NULL").distinct()
+    found = frontier = settled(step.where("_up <> _down").select(F.col("_up").alias("root"), F.col("_down").alias("node"), F.lit(1).alias("depth")))
+    while not frontier.isEmpty():
+        on = frontier.join(step, F.col("node") == F.col("_up")).where("_down <> root").select("root", F.col("_down").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
+        frontier = settled(on.join(found.select("root", "node"), ["root", "node"], "left_anti"))
+        found = found.unionByName(frontier)
+    return found
 
 
 def band(rows: DataFrame, key: list[str], position: str, flag: Column, reach: int = 2) -> DataFrame:

@@ -183,7 +183,7 @@ def hierarchy_descendants(spark, sf_dir):
     e = t("region").join(t("nation"), F.col("n_regionkey") == F.col("r_regionkey")).select(name("r", "r_regionkey").alias("parent"), name("n", "n_nationkey").alias("child"))
     e = e.unionByName(t("customer").select(name("n", "c_nationkey").alias("parent"), name("c", "c_custkey").alias("child")))
     e = e.unionByName(t("orders").select(name("c", "o_custkey").alias("parent"), name("o", "o_orderkey").alias("child")))
-    below = R.descendants(spark, e, "parent", "child")
+    below = R.descendants(e, "parent", "child")
     return below.groupBy("root").agg(F.count("*").alias("n_below"), F.max("depth").alias("deepest"), F.count_if(F.col("node").startswith("o")).alias("n_leaves"))
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import answers, delivery, graphs, reads, textual
+from .plans import answers, delivery, graphs, lessons, reads, textual
 
-FAMILIES = (reads, textual, answers, delivery, graphs)
+FAMILIES = (reads, textual, answers, lessons, delivery, graphs)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -11,8 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.relational import best_by
 
-#: Times a failed job may be started again.
-RETRIES = 3
+#: Times a failed job may be started again; parts of the state of a stream that ends once it has read what is there.
+RETRIES, STATE_PARTS = 3, 16
 
 
 def with_event_time(events: DataFrame, column: str = "ts") -> DataFrame:
@@ -84,7 +84,10 @@ def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
 
 
 def progress_stream(events: DataFrame) -> DataFrame:
-    """For each job (user_id) its number of changes, failures and last state so far, from a stream of changes."""
+    """For each job (user_id) its number of changes, failures and last state so far, from a stream of changes.
+
+    State is four values for each job ever seen; it is not forgotten, for a job may
+    change after any time."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, failed, last, at = state.get if state.exists else (0, 0, "", -1)
@@ -112,3 +115,25 @@ def queue_sink(changes: DataFrame, path: str, checkpoint: str, key: str = "event
 
 def stream_of(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+
+
+def audit_log(reviews: DataFrame, late: str = "1 day", width: str = "1 day") -> DataFrame:
+    """window_start, action, n, targets: an append-only stream of review events, counted by window; what comes later than ``late`` is left out."""
+    r = reviews.withWatermark("ts", late) if reviews.isStreaming else reviews
+    got = r.groupBy(F.window("ts", width).alias("w"), "action").agg(F.count("*").alias("n"), F.approx_count_distinct("target").alias("targets"))
+    return got.select(F.col("w.start").alias("window_start"), "action", "n", "targets")
+
+
+def run_available(stream: DataFrame, mode: str, path: str, checkpoint: str) -> None:
+    """Runs a stream over all that is there and ends; results are written batch by batch, and running a batch again replaces it."""
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/part={number}")
+
+    conf = stream.sparkSession.conf
+    parts = conf.get("spark.sql.shuffle.partitions")
+    conf.set("spark.sql.shuffle.partitions", str(min(int(parts), STATE_PARTS)))
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        conf.set("spark.sql.shuffle.partitions", parts)
