@@ -14,7 +14,7 @@ from corpusgraph.sources import tables as S
 
 def test_descendants_with_a_cycle(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "p string, c string")
-    got = {(r.root, r.node): r.depth for r in R.descendants(spark, e, "p", "c").collect()}
+    got = {(r.root, r.node): r.depth for r in R.descendants(e, "p", "c").collect()}
     assert got["a", "d"] == 3 and got["b", "d"] == 2 and got["c", "d"] == 1
 
 
