@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Q = 12
-#: Characters of a passage, step between passages, shortest item that is looked for.
-PASSAGE, STEP, SHORTEST = 80, 40, 36
+#: Characters of a passage, step between passages, shortest item that is looked for (one q-gram).
+PASSAGE, STEP, SHORTEST = 80, 40, Q
 #: Edits allowed for each character.
 RATE = 0.05
 #: Characters of benchmark text in one block, and of document text handled at a time.
@@ -107,6 +107,8 @@ def passages(items: list[tuple[int, str]], rate: float = RATE) -> Passages | Non
         return None
     length = np.array([len(c) for _, c in found])
     edits = (length * rate).astype(np.int64)
+    # too short for any shared q-gram after so many edits: found without edits only
+    edits = np.where(length - Q + 1 - Q * edits < 1, 0, edits)
     chars = np.full((len(found), PASSAGE), 1, np.uint64)
     hashes, owner, offset = [], [], []
     for k, (_, c) in enumerate(found):
@@ -263,7 +265,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
     points of the text), edits (most in one passage), passages (alignments that
     the region joins).  Clean documents have no row.  Null and empty texts are
     clean.  Items under SHORTEST compared characters, null ones included, are not
-    looked for.  Repeated documents each have their rows; repeated items too.
+    looked for; those too short to share a q-gram after an edit are found as they are.  Repeated documents each have their rows; repeated items too.
     Either table may be empty.  A document of any length is read whole."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = docs.sparkSession.createDataFrame([], REGIONS)

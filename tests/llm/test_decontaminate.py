@@ -74,3 +74,12 @@ def test_clean_keeps_rows_and_columns(spark, docs):
     kept = D.clean(d, frame)
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [1, 1, 2]
     assert D.contaminated(d, frame.limit(0)).collect() == [] == D.contaminated(d.limit(0), frame).collect()
+
+
+def test_short_items_are_found(spark):
+    """Items of one q-gram and more: without edits where an edit would leave no gram, with one where it would."""
+    items = ["twelve chars", "a passage of twenty-2", "thirty one characters in a row.", "too short"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame([(1, "here are Twelve Chars, and more"), (2, "with a passage of twenty-2 inside"), (3, "see thirty one charXcters in a row here"), (4, "it is too short to be looked for"), (5, "nothing of this at all"), (6, "a passage of twenXy-2")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.edits) for r in D.contaminated(docs, bench).collect()}
+    assert got == {(1, 0, 0), (2, 1, 0), (3, 2, 1)}
