@@ -9,8 +9,10 @@ import re
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: The bytes that end a word.  ``bytes.split()`` splits at exactly these.
@@ -80,6 +82,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that a worker holds the Python objects of few texts at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def drop_shuffles(spark: SparkSession) -> None:
     """Let Spark delete shuffle files that no plan can reach any more."""
     gc.collect()

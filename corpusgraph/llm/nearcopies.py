@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import drop_shuffles, forget, written
+from .common import drop_shuffles, forget, small, written
 from .components import components
 from .simhash import _LOWER, _bit_counts
 
@@ -116,7 +116,7 @@ def _prefixes(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often = shared.value
         known = _Hashes()
-        for b in batches:
+        for b in small(batches):
             nodes, sizes, firsts, sketches, fps = [], [], [], [], []
             for x in b.column(2).cast(pa.binary()).to_pylist():
                 h = shingles(x, known)
@@ -262,7 +262,7 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Hashes()
     seen: set[int] = set()
-    for b in batches:
+    for b in small(batches):
         nodes = b.column(0).to_pylist()
         new = []
         for i, node in enumerate(nodes):

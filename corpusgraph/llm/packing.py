@@ -19,10 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 #: Words whose ids a worker remembers at a time, and the longest word it remembers.
-CACHE_WORDS, CACHE_BYTES = 1_000_000, 64
+CACHE_WORDS, CACHE_BYTES = 400_000, 64
 
 #: Marks that form one token run behind letters (no apostrophe: it may start a suffix).
 MARKS = ".,!?;:#*$%&)]}"
@@ -133,7 +133,7 @@ def _tokenise(path: str, end_id: int):
         end = np.array([end_id], tok.dtype).tobytes()
         part = TaskContext.get().partitionId()
         at = 0
-        for batch in batches:
+        for batch in small(batches):
             ids = [tok.ids(x) + end for x in batch.column(1).cast(pa.binary()).to_pylist()]
             n = np.array([len(x) // tok.dtype.itemsize for x in ids], np.int64)
             first = at + np.cumsum(n) - n

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 # The base rules.
 KINDS = ("assign", "access", "hex")
@@ -323,7 +323,7 @@ def redact(docs: DataFrame, net: Network, mark: str = "[SECRET]") -> DataFrame:
     long = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = b.column(at).to_pylist()
             for i, spans in enumerate(_scan_texts(texts, shared.value)):
                 if not spans:

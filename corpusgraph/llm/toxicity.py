@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 #: Most documents in either sample, most features in the model, seed of the draw.
 POSITIVES, UNLABELLED, FEATURES, SEED = 3000, 6000, 600, 7
 #: Lengths of word beginnings; counts from which a feature holds; words a worker remembers.
-BEGINNINGS, LEVELS, CACHE_WORDS = (4, 5, 6), (1, 3), 500_000
+BEGINNINGS, LEVELS, CACHE_WORDS = (4, 5, 6), (1, 3), 200_000
 #: Score from which a document is called toxic.
 CUT = 0.7
 
@@ -185,7 +185,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores(b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -201,7 +201,7 @@ def keep(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield b.filter(pa.array([s < cut for s in shared.value.scores(b.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
