@@ -22,7 +22,7 @@ def _blocks(patterns: DataFrame, pattern: str) -> Iterator[list[str]]:
         yield sorted(r.p for r in part.collect())
 
 
-def _automaton(strings: list[str]):
+def automaton(strings: list[str]):
     import ahocorasick
 
     found = ahocorasick.Automaton()
@@ -43,7 +43,7 @@ def standing(rows: DataFrame, key: str, text: str, patterns: DataFrame, pattern:
         shared = rows.sparkSession.sparkContext.broadcast(strings)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            machine = _automaton(shared.value)
+            machine = automaton(shared.value)
             for b in batches:
                 at, said = [], []
                 for i, t in enumerate(b.column(1).to_pylist()):
@@ -64,7 +64,7 @@ def present(rows: DataFrame, text: str, patterns: DataFrame, pattern: str) -> Da
         shared = rows.sparkSession.sparkContext.broadcast(strings)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            machine, seen = _automaton(shared.value), set()
+            machine, seen = automaton(shared.value), set()
             for b in batches:
                 new = {s for t in b.column(0).to_pylist() if t for _, s in machine.iter(t)} - seen
                 seen |= new
