@@ -13,8 +13,9 @@ common.  So:
 2. texts under one key are candidates where their sizes, places and sketches
    allow the similarity; candidates are verified on the whole sets;
 3. a key of over ``LARGE`` texts pairs them with its first ``HUBS`` only; once
-   the links so found have been joined, its pairs between texts that are still
-   apart are verified too, so that none is missed.
+   the links so found have been joined, its texts that are still apart are compared
+   by their sketches where the key lies, and the pairs that these allow are verified
+   too, so that none is missed.
 
 Every candidate of either kind is verified.  Texts of equal sets are one node.  A
 row is known by its id and a hash of its text, so no text is copied or moved but
@@ -44,6 +45,8 @@ WORDS, OVER, UNDER = 5, 4, 5
 SAMPLE_DOCS, COMMON = 4000, 200_000
 #: Texts up to which a key emits all its pairs, and texts that stand for a larger one at first.
 LARGE, HUBS = 4, 1
+#: Most times that large keys give candidates enough to join what is apart, as long as some are links, before they give all.
+SPANNING = 8
 #: Fewest and most cells of a sketch; it has two for a shingle at least in between.
 CELLS, MOST_CELLS = 512, 1 << 15
 #: Index rows handled at a time, words whose hashes are held, parts in which the index is dealt, one after another.
@@ -161,14 +164,14 @@ def _allowed(n: np.ndarray, place: np.ndarray, i, j) -> np.ndarray:
     return (UNDER * np.minimum(n[i], n[j]) >= OVER * np.maximum(n[i], n[j])) & ((OVER + UNDER) * most >= OVER * both)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of sorted rows in parts that hold whole runs of the first one."""
+def _runs(batches: Iterator[pa.RecordBatch], most: int = ROWS) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted rows, numbers or binary, in parts that hold whole runs of the first one."""
     held: list[list[np.ndarray]] = []
     rows = 0
     for b in batches:
-        held.append([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(b.num_columns)])
+        held.append([x if (x := c.to_numpy(zero_copy_only=False)).dtype == object else x.astype(np.int64) for c in b.columns])
         rows += b.num_rows
-        if rows >= ROWS:
+        if rows >= most:
             whole = [np.concatenate(c) for c in zip(*held, strict=True)]
             cut = int(np.searchsorted(whole[0], whole[0][-1]))
             if cut:
@@ -219,22 +222,59 @@ def _pairs(most: int, hubs: int):
     return run
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of large keys whose ends are not joined yet; rows are key, node, n, place, root."""
-    for key, node, n, place, root in _runs(batches):
-        cuts = np.flatnonzero(np.diff(key)) + 1
-        for a, z in zip([0, *cuts], [*cuts, len(key)], strict=True):
-            kinds, of, count = np.unique(root[a:z], return_inverse=True, return_counts=True)
-            if len(kinds) == 1:
-                continue
-            # those of the largest component are compared with all others, not with one another
-            other = a + np.flatnonzero(of != count.argmax())
-            for i in other:
-                j = a + np.flatnonzero(root[a:z] != root[i])
-                j = j[_allowed(n, place, i, j)]
-                if len(j):
+def _apart(spanning: int | None):
+    """Candidates of large keys whose ends are not joined yet and whose sketches allow the similarity; rows are key, node, n, place, root, sketch.
+
+    ``spanning``: of these only so many that, were all of them links, they would
+    join what all candidates of the key would; at 0 those of the closest sketches, at
+    other numbers others, for a close one may be no link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn = np.random.default_rng(spanning)
+        for key, node, n, place, root, sketch in _runs(batches, ROWS // 16):
+            cuts = np.flatnonzero(np.diff(key)) + 1
+            for a, z in zip([0, *cuts], [*cuts, len(key)], strict=True):
+                kinds, of, count = np.unique(root[a:z], return_inverse=True, return_counts=True)
+                if len(kinds) == 1:
+                    continue
+                # those of the largest component are compared with all others, not with one another
+                largest = of == count.argmax()
+                # sketches of as many cells are the rows of one table
+                held = [np.frombuffer(x, np.uint64) for x in sketch[a:z]]
+                cells = np.array([len(x) for x in held])
+                tables = {int(c): (np.flatnonzero(cells == c), np.stack([x for x in held if len(x) == c])) for c in np.unique(cells)}
+                found = []
+                for i in np.flatnonzero(~largest):
+                    ends, far = [], []
+                    for c, (rows, table) in tables.items():
+                        # a pair of two such components comes once
+                        room = (of[rows] != of[i]) & (largest[rows] | (rows > i))
+                        room[room] = _allowed(n[a:z], place[a:z], i, rows[room])
+                        if not room.any():
+                            continue
+                        one, two = held[i], table[room]
+                        while len(one) > c:
+                            one = one[: len(one) // 2] ^ one[len(one) // 2 :]
+                        while two.shape[1] > len(one):
+                            two = two[:, : two.shape[1] // 2] ^ two[:, two.shape[1] // 2 :]
+                        differ = np.bitwise_count(two ^ one).sum(1, dtype=np.int64)
+                        good = (OVER + UNDER) * differ <= (UNDER - OVER) * (n[a + i] + n[a + rows[room]])
+                        ends.append(rows[room][good])
+                        far.append(drawn.random(good.sum()) if spanning else differ[good] / (n[a + i] + n[a + rows[room][good]]))
+                    if not ends or not len(j := np.concatenate(ends)):
+                        continue
+                    if spanning is not None:
+                        j = j[np.argsort(np.concatenate(far), kind="stable")]
+                        joined, first = np.unique(of[j], return_index=True)
+                        j = j[first]
+                        of[np.isin(of, joined)] = of[i]
+                    found.append((np.full(len(j), i), j))
+                if found:
+                    i, j = (a + np.concatenate(x) for x in zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
+    return run
+
 
 def _held(column: pa.Array) -> Iterator[np.ndarray]:
     """The binary values of a column as 64-bit numbers, one after another, where they lie in memory."""
@@ -353,11 +393,25 @@ def groups(docs: DataFrame, large: int = LARGE, hubs: int = HUBS) -> DataFrame:
     joined = components(links)
     crowded = found.where("b IS NULL").select("key", F.col("a").alias("node"), "n", "place")
     if not crowded.isEmpty():
-        rooted = crowded.join(joined, "node", "left").select("key", "node", "n", "place", F.coalesce("root", "node").alias("root"))
-        apart = rooted.repartition("key").sortWithinPartitions("key").mapInArrow(_apart, "a long, b long")
-        more = _verified(apart, firsts, texts)
-        if not more.isEmpty():
-            joined = components(links.unionByName(more))
+        # few candidates join most of what is apart, so that few are left when all are taken
+        spanning: int | None = 0
+        while True:
+            rooted = written(crowded.join(joined, "node", "left").select("key", "node", "n", "place", F.coalesce("root", "node").alias("root")), "near-crowded")
+            # of most keys all texts are joined by now
+            several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+            left = rooted.join(several, "key", "left_semi").join(firsts.select("node", "sketch"), "node").select("key", "node", "n", "place", "root", "sketch")
+            apart = written(left.repartition("key").sortWithinPartitions("key").mapInArrow(_apart(spanning), "a long, b long"), "near-apart")
+            drop_shuffles(spark)
+            none = apart.isEmpty()
+            more = links.limit(0) if none else _verified(apart, firsts, texts)
+            linked = not more.isEmpty()
+            if linked:
+                links = links.unionByName(more)
+                joined = components(links)
+            forget(rooted, apart)
+            if none or spanning is None:
+                break
+            spanning = spanning + 1 if linked and spanning + 1 < SPANNING else None
     forget(near, firsts, *parts)
     return rows.join(joined, "node", "left").select("doc_id", "h", "node", F.coalesce("root", "node").alias("root"))
 

@@ -54,3 +54,28 @@ def test_stage_drops_planted_near_copies(spark, docs):
     want = brute(t)
     assert sum(x != i for i, x in enumerate(want)) > 30
     assert sorted(x.doc_id for x in P.drop_near_copies(spark, docs(t), "").collect()) == [i for i, x in enumerate(want) if x == i]
+
+
+def test_texts_apart_are_compared_where_their_key_lies():
+    """Pairs of a large key that sketches rule out leave no row; what is alike leaves one row for each join wanted, and all rows at the end."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    common = r.integers(0, 1 << 63, 100, np.uint64)
+    near = [np.unique(np.append(common[1:], r.integers(0, 1 << 63, 1, np.uint64))) for _ in range(40)]
+    other = [np.unique(r.integers(0, 1 << 63, k, np.uint64)) for k in range(95, 125)]
+
+    def rows(sets, roots):
+        n = len(sets)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([7] * n), pa.array(range(n)), pa.array([len(x) for x in sets], pa.int32()), pa.array([3] * n, pa.int32()), pa.array(roots), pa.array([nearcopies._sketch(x) for x in sets], pa.binary())],
+            ["key", "node", "n", "place", "root", "sketch"],
+        )
+
+    count = lambda sets, roots, spanning: sum(b.num_rows for b in nearcopies._apart(spanning)(iter([rows(sets, roots)])))
+    assert [count(other, list(range(30)), s) for s in (0, 1, None)] == [0, 0, 0]
+    halves = [k % 2 for k in range(40)]
+    assert [count(near, halves, s) for s in (0, 1, None)] == [1, 1, 400]
+    # an end of every pair is in the smaller component; pairs of single texts come once
+    assert count(near[:3] + other, [0, 1, 2, *range(3, 33)], None) == 3
