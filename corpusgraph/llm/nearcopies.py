@@ -231,7 +231,7 @@ def _apart(spanning: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drawn = np.random.default_rng(spanning)
-        for key, node, n, place, root, sketch in _runs(batches, ROWS // 16):
+        for key, node, n, place, root, sketch in _runs(batches, ROWS // 64):
             cuts = np.flatnonzero(np.diff(key)) + 1
             for a, z in zip([0, *cuts], [*cuts, len(key)], strict=True):
                 kinds, of, count = np.unique(root[a:z], return_inverse=True, return_counts=True)
@@ -271,7 +271,7 @@ def _apart(spanning: int | None):
                     found.append((np.full(len(j), i), j))
                 if found:
                     i, j = (a + np.concatenate(x) for x in zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(key[i])], ["a", "b", "key"])
 
     return run
 
@@ -395,23 +395,28 @@ def groups(docs: DataFrame, large: int = LARGE, hubs: int = HUBS) -> DataFrame:
     if not crowded.isEmpty():
         # few candidates join most of what is apart, so that few are left when all are taken
         spanning: int | None = 0
+        held = crowded
         while True:
             rooted = written(crowded.join(joined, "node", "left").select("key", "node", "n", "place", F.coalesce("root", "node").alias("root")), "near-crowded")
             # of most keys all texts are joined by now
             several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
             left = rooted.join(several, "key", "left_semi").join(firsts.select("node", "sketch"), "node").select("key", "node", "n", "place", "root", "sketch")
-            apart = written(left.repartition("key").sortWithinPartitions("key").mapInArrow(_apart(spanning), "a long, b long"), "near-apart")
+            apart = written(left.repartition("key").sortWithinPartitions("key").mapInArrow(_apart(spanning), "a long, b long, key long"), "near-apart")
             drop_shuffles(spark)
             none = apart.isEmpty()
-            more = links.limit(0) if none else _verified(apart, firsts, texts)
+            more = links.limit(0) if none else _verified(apart.select("a", "b"), firsts, texts)
             linked = not more.isEmpty()
             if linked:
                 links = links.unionByName(more)
                 joined = components(links)
-            forget(rooted, apart)
+            # a key without candidates has none later, for what is joined stays joined
+            was, crowded = (held, rooted), written(rooted.join(apart.select("key").distinct(), "key", "left_semi").select("key", "node", "n", "place"), "near-left")
+            forget(*was, apart)
+            held = crowded
             if none or spanning is None:
                 break
             spanning = spanning + 1 if linked and spanning + 1 < SPANNING else None
+        forget(crowded)
     forget(near, firsts, *parts)
     return rows.join(joined, "node", "left").select("doc_id", "h", "node", F.coalesce("root", "node").alias("root"))
 
