@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import questions as Q
+from ..session import settled
 from ..sources import tables as S
 
 QUERIES: dict = {}
@@ -97,7 +98,7 @@ def hybrid_ranking(spark, sf_dir):
     """Lexical and graph rankings as one; the graph speaks only where no passage passes the gate, and what it says is gated too."""
     q, p = asked(spark, sf_dir), passages(spark, sf_dir)
     d, b = S.table(spark, sf_dir, "documents"), S.table(spark, sf_dir, "benchmark")
-    lexical = Q.ranked(q, p, "item_id", "doc_id")
+    lexical = settled(Q.ranked(q, p, "item_id", "doc_id"))
     by = Window.partitionBy("item_id").orderBy(F.desc("n_chars"), "doc_id")
     graph = b.select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source")).join(d.select("doc_id", "source", "n_chars"), "source")
     graph = graph.withColumn("rank", F.row_number().over(by)).where("rank <= 60")
