@@ -6,6 +6,8 @@ that the same pattern means the same in every engine.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]"
 BROKEN = r"\x{FFFD}|[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]"
 CJK = r"\x{4E00}-\x{9FFF}"
+_TOKEN = re.compile("[a-z0-9]+|[\u4e00-\u9fff]").findall
 NUMERALS = "一二三四五六七八九十百千"
 EDGE_MARKS = " ：:，,。；;、-—"
 NOISE = (
@@ -69,6 +72,13 @@ def tokenize(x: Column | str) -> Column:
     return F.concat(word_tokens(x), *(slices(joined, k) for k in (2, 3, 4)))
 
 
+def tokens_in(low: str) -> list[str]:
+    """What ``tokenize`` gives, of a text in lower case, in Python."""
+    words = _TOKEN(low)
+    run = "" if low.isascii() else "".join(w for w in words if w[0] > "z")
+    return words + [run[i : i + n] for n in (2, 3, 4) for i in range(len(run) - n + 1)]
+
+
 def normalize_evidence(x: Column | str) -> Column:
     return F.lower(F.regexp_replace(text(x), r"[\s\x{A0}\x{3000}]+", ""))
 

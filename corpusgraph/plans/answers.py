@@ -77,7 +77,7 @@ def question_parts(spark, sf_dir):
 @query(f"{_RANKED} SELECT item_id, count(*) AS n, sum(doc_id)::BIGINT AS docs, round(sum(score), 3) AS score FROM c GROUP BY item_id")
 def question_candidates(spark, sf_dir):
     """How many passages pass the gate of each question."""
-    got = Q.candidates(asked(spark, sf_dir), passages(spark, sf_dir), "item_id", "doc_id")
+    got = Q.reached(asked(spark, sf_dir), passages(spark, sf_dir), "item_id", "doc_id")
     return got.groupBy("item_id").agg(F.count("*").alias("n"), F.sum("doc_id").alias("docs"), F.round(F.sum("score"), 3).alias("score"))
 
 
